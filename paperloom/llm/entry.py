@@ -91,6 +91,36 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out), "toxic")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = score_quality(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("_score").alias("score"), F.col("_keep").alias("keep"))
+
+
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 OP1_SQL = """
@@ -129,7 +159,10 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op3_line_dedup": op3_line_dedup, "op5_secrets": op5_secrets, "op6_ann": op6_ann, "op10_bpe": op10_bpe}
+    return {
+        "op1_chat": op1_chat, "op3_line_dedup": op3_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets,
+        "op6_ann": op6_ann, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
