@@ -55,6 +55,19 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii
+
+    found = find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    return found.select(
+        "doc_id",
+        *(count_kind(F.col("spans"), kind) for kind in KINDS),
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -160,7 +173,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_chat": op1_chat, "op3_line_dedup": op3_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets,
+        "op1_chat": op1_chat, "op2_pii": op2_pii, "op3_line_dedup": op3_line_dedup, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets,
         "op6_ann": op6_ann, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_bpe": op10_bpe,
     }
 
