@@ -3,7 +3,7 @@
 Vectors are rotated by a random orthogonal matrix and dealt to the list of their nearest centroid. A
 query probes its best lists. Within a list the rotated vectors are scanned in blocks of dimensions: after
 each block the partial distance, scaled up, is an estimate of the whole one, and a candidate whose
-estimate lies beyond the query's bound by more than the test's margin is abandoned. Survivors of all
+estimate lies beyond the query's bound by more than `z` standard errors is abandoned. Survivors of all
 blocks are scored exactly on the original vectors, in double precision.
 
 The best k of the fit's sample are the first answers of a query and give it its first bound.
@@ -88,31 +88,44 @@ def top_rows(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return order[np.arange(len(q)) - first < k]
 
 
-def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, columns: int, margin: float, step: int = 512):
+def slack(used: int, dim: int, z: float) -> float:
+    """How far beyond the bound an estimate from `used` of `dim` rotated dimensions may lie before its candidate is abandoned.
+
+    The estimate's relative variance is 2 / used for a random direction, less what sampling without replacement takes off.
+    """
+    return 1 + z * math.sqrt(2 * (1 / used - 1 / dim))
+
+
+def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float, step: int = 1024):
     """(query index, candidate id, score) of each query's k best candidates that pass the tests.
 
-    bounds: for each query a score that its k-th best neighbour reaches at least.
+    bounds: for each query a score that its k-th best neighbour reaches at least. The column blocks end at
+    a half, three quarters and all of the dimensions; the first is one matrix product for all pairs.
     """
     dim = queries.shape[1]
-    rq, rc = queries @ turn, cands @ turn
+    ends = sorted({max(1, dim // 2), max(1, dim * 3 // 4), dim})
+    used = ends[0]
+    rq, rc = (queries @ turn).astype(np.float32), (cands @ turn).astype(np.float32)
     q2, c2 = (queries**2).sum(1), (cands**2).sum(1)
+    q2_used, c2_used = (rq[:, :used] ** 2).sum(1), (rc[:, :used] ** 2).sum(1)
     best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    bounds = bounds.copy()
+    bounds = np.where(np.isfinite(bounds), bounds, -1e30)
+    grow, wide = dim / used, slack(used, dim, z)
     for start in range(0, len(cands), step):
         part = slice(start, start + step)
-        limit = q2[:, None] + c2[None, part] - 2 * bounds[:, None]  # squared distance that a score at the bound has
-        partial = rq[:, :columns] @ rc[part, :columns].T
-        used = columns
-        seen = (rq[:, :used] ** 2).sum(1)[:, None] + (rc[part, :used] ** 2).sum(1)[None] - 2 * partial
-        qi, ci = np.nonzero(seen * (dim / used) <= np.maximum(limit, 0) * (1 + margin / math.sqrt(used)) ** 2 + 1e-9)
-        seen, limit, ci = seen[qi, ci], limit[qi, ci], ci + start
-        while used < dim and len(qi):
-            more = slice(used, min(dim, used + columns))
-            seen = seen + ((rq[qi, more] - rc[ci, more]) ** 2).sum(1)
-            used = more.stop
-            if used < dim:
-                keep = seen * (dim / used) <= np.maximum(limit, 0) * (1 + margin / math.sqrt(used)) ** 2 + 1e-9
-                qi, ci, seen, limit = qi[keep], ci[keep], seen[keep], limit[keep]
+        # |q - c|^2 on the used columns, scaled up, against |q - c|^2 at the bound: split into terms of q, of c and of both
+        of_q = (q2_used * grow - wide * (q2 - 2 * bounds)).astype(np.float32)
+        of_c = (c2_used[part] * grow - wide * c2[part]).astype(np.float32)
+        both = (rq[:, :used] * np.float32(2 * grow)) @ rc[part, :used].T
+        both -= of_c
+        qi, ci = np.nonzero(both >= of_q[:, None] - np.float32(1e-5) * np.abs(of_q[:, None]) - np.float32(1e-6))
+        ci = ci + start
+        seen = q2_used[qi] + c2_used[ci] - (both[qi, ci - start] + of_c[ci - start]) / (2 * grow) * 2
+        for a, b in zip(ends, ends[1:]):
+            seen = seen + ((rq[qi, a:b] - rc[ci, a:b]) ** 2).sum(1)
+            if b < dim:
+                keep = seen * (dim / b) <= (q2[qi] + c2[ci] - 2 * bounds[qi]) * slack(b, dim, z) + 1e-5
+                qi, ci, seen = qi[keep], ci[keep], seen[keep]
         keep = q_ids[qi] != c_ids[ci]
         qi, ci = qi[keep], ci[keep]
         scores = (queries[qi] * cands[ci]).sum(1)
@@ -122,14 +135,14 @@ def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, columns: i
         best = tuple(x[top] for x in merged)
         n = np.bincount(best[0], minlength=len(queries))
         full = np.nonzero(n >= k)[0]
-        ends = np.searchsorted(best[0], full, side="right") - 1
-        bounds[full] = np.maximum(bounds[full], best[2][ends])
+        last = np.searchsorted(best[0], full, side="right") - 1
+        bounds[full] = np.maximum(bounds[full], best[2][last])
     return best
 
 
 def nearest_neighbours(
     df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 16384,
-    target_recall: float = 0.97, columns: int = 16, margin: float = 2.1, block_rows: int = 4096, query_rows: int = 1024, seed: int = 7,
+    target_recall: float = 0.95, z: float = 1.5, block_rows: int = 4096, query_rows: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of df found for each row of queries."""
     pick = lambda x: x.where(sound(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -220,7 +233,7 @@ def nearest_neighbours(
         if not len(asks) or not len(rows):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         q_ids = asks["query_id"].to_numpy()
-        qi, ids, scores = adaptive_scan(q_ids, np.stack(asks["v"]), asks["bound"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["v"]), fitted.value[1], k, columns, margin)
+        qi, ids, scores = adaptive_scan(q_ids, np.stack(asks["v"]), asks["bound"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["v"]), fitted.value[1], k, z)
         return pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids, "score": scores})
 
     key = ["list", "block", "chunk"]
