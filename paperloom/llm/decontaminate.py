@@ -8,7 +8,7 @@ the item stands for one value of the document and the reverse, so re-parameteris
 chance tables of numbers do not. A document is contaminated by an item if consistent windows cover at
 least `share` of the item's windows.
 
-A Bloom filter of the benchmark's windows, of FILTER_BITS bits at most, is broadcast so that only windows
+A Bloom filter of the benchmark's windows, of fixed size, is broadcast so that only windows
 likely to join leave the scan; the join itself is exact on 64-bit hashes, then on the template's words.
 
 Defined results: null text counts as empty and matches nothing; windows without PLAIN_WORDS plain words
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
+from .shared import bloom_filter, in_filter
 
 WINDOW, PLAIN_WORDS = 8, 4
-FILTER_BITS = 1 << 24
 SPACE = " \t\n\r\x0b\x0c"
 #: Words whose canonical forms a Python worker keeps; the cache only saves time.
 CACHE_WORDS = 500_000
@@ -132,34 +132,6 @@ def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame
     return map_arrow(df, run, struct("id long, pos int, size int, h long, slots array<string>"))
 
 
-def filter_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * P % np.uint64(bits)).astype(np.int64)
-
-
-def in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        a, b = filter_places(h, len(table) * 8)
-    return (table[a >> 3] >> (a & 7) & 1).astype(bool) & (table[b >> 3] >> (b & 7) & 1).astype(bool)
-
-
-def bloom_filter(items: DataFrame) -> np.ndarray:
-    """The filter of the h column, merged from filters of its partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        table = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                places = np.concatenate(filter_places(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS))
-            np.bitwise_or.at(table, places >> 3, (1 << (places & 7)).astype(np.uint8))
-        at = np.nonzero(table)[0]
-        yield {"at": at.astype(np.int32), "bits": table[at].astype(np.int32)}
-
-    merged = map_arrow(items.select("h"), run, struct("at int, bits int")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    table[merged["at"].to_numpy()] = merged["bits"].to_numpy().astype(np.uint8)
-    return table
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, covered) of each document and item with enough consistent windows."""
     items = window_rows(id_and_text(benchmark, item_col, item_text_col).where("doc_id is not null"), None).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
+from .shared import likely
 
 ORDER, SYMBOLS = 4, 48
 PRIOR_CHARS = 60
@@ -160,7 +161,8 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.08) -> DataFrame:
     """df with _score, _limit and _keep. labels marks trusted documents with 1 in label_col."""
     trusted = trusted_ids(labels, id_col, label_col)
-    model = fit(id_and_text(df, id_col, text_col).join(trusted, F.col("doc_id") == F.col("_trusted_id"), "left_semi"))
+    texts = likely(id_and_text(df, id_col, text_col), trusted, "doc_id", "_trusted_id")  # so that only these are shuffled
+    model = fit(texts.join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted_id"), "left_semi"))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))
     narrow = with_score(df.select(F.col(id_col).cast("long").alias("_id"), lang.alias("_lang"), F.col(text_col).alias("text")), model).drop("text")
     known = narrow.join(trusted, F.col("_id") == F.col("_trusted_id"), "left_semi")

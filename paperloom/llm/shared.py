@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_io import map_arrow, struct
+
+#: Bits of every Bloom filter: 2 MB, whatever the number of keys.
+FILTER_BITS = 1 << 24
+P = np.uint64(0x9E3779B97F4A7C15)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
@@ -46,3 +55,44 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def filter_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * P % np.uint64(bits)).astype(np.int64)
+
+
+def in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        a, b = filter_places(h, len(table) * 8)
+    return (table[a >> 3] >> (a & 7) & 1).astype(bool) & (table[b >> 3] >> (b & 7) & 1).astype(bool)
+
+
+def bloom_filter(items: DataFrame) -> np.ndarray:
+    """The filter of the h column, merged from filters of its partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        table = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                places = np.concatenate(filter_places(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS))
+            np.bitwise_or.at(table, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        at = np.nonzero(table)[0]
+        yield {"at": at.astype(np.int32), "bits": table[at].astype(np.int32)}
+
+    merged = map_arrow(items.select("h"), run, struct("at int, bits int")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table[merged["at"].to_numpy()] = merged["bits"].to_numpy().astype(np.uint8)
+    return table
+
+
+def likely(df: DataFrame, keys: DataFrame, df_col: str, keys_col: str) -> DataFrame:
+    """The rows of df whose long df_col may be among keys: all that are, and few others. Nothing is shuffled."""
+    bits = df.sparkSession.sparkContext.broadcast(bloom_filter(keys.select(F.xxhash64(keys_col).alias("h"))))
+    at = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            hit = np.nonzero(in_filter(bits.value, batch.column(at).to_numpy().view(np.uint64)))[0]
+            yield batch.take(pa.array(hit)).select(range(at))
+
+    return map_arrow(df.withColumn("_key_hash", F.xxhash64(df_col)), run, df.schema)
