@@ -16,6 +16,17 @@ def bracketed(response: Column) -> Column:
     return F.when(found, response.substr(first, last - first + 1))
 
 
+def array_items(response: Column) -> Column:
+    """The elements of the JSON array in a response as variants; null if there is none or it is malformed.
+
+    The parser ignores what follows a value, so the array is parsed as the only field of the only element of another.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit('[{"v":'), bracketed(response), F.lit("}]")))
+    whole = F.try_variant_get(wrapped, "$", "array<map<string,variant>>")
+    only = F.when((F.size(whole) == 1) & (F.size(whole[0]) == 1), whole[0]["v"])
+    return F.when(F.schema_of_variant(only).startswith("ARRAY"), F.try_variant_get(only, "$", "array<variant>"))
+
+
 def keyword_prompt(title: Column, abstract: Column, introduction: Column, entity_type: Column, description: Column, n: int = Settings.max_keywords) -> Column:
     """The prompt of one paper and type; long parts are cut as the model's budget asks."""
     intro = F.substring(F.array_join(F.slice(words(F.coalesce(introduction, F.lit(""))), 1, 500), " "), 1, 500)
@@ -39,10 +50,8 @@ def parse_keywords(responses: DataFrame, content_col: str = "content") -> DataFr
 
     Anything that is not such an array has no keywords; duplicates stay; elements of other types are dropped.
     """
-    value = F.try_parse_json(bracketed(F.col(content_col)))
-    parsed = responses.withColumn("_v", value)
-    items = F.when(F.schema_of_variant("_v").startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>"))
-    texts = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.variant_get(x, "$", "string")))
+    parsed = responses.withColumn("_v", array_items(F.col(content_col)))
+    texts = F.transform(F.filter("_v", lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.variant_get(x, "$", "string")))
     keep = F.filter(texts, lambda t: (t != "") & (F.size(words(t)) <= Settings.max_keyword_words))
     return parsed.withColumn("keywords", F.coalesce(keep, F.array().cast("array<string>"))).drop("_v")
 

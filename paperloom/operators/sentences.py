@@ -29,7 +29,7 @@ def split_sections(sections: DataFrame, min_chars: int = Settings.min_sentence_c
     found = sections.withColumn("_pieces", pieces(F.coalesce("text", F.lit(""))))
     lead = F.length(F.regexp_extract("text", r"^[.!?]*", 0))  # closing marks that open a text belong to no piece
     ends = F.aggregate(
-        "_pieces", F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array((F.coalesce(F.element_at(acc, -1), lead) + F.length(p)).cast("int")))
+        "_pieces", F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), lead) + F.length(p)).cast("int")))
     )
     exploded = found.withColumn("_ends", ends).select("paper_id", "section", "section_ord", F.posexplode(F.arrays_zip("_pieces", "_ends")).alias("position", "p"))
     out = exploded.select(

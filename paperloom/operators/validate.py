@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FALLBACK_THRESHOLD, Settings, type_table
-from .keywords import bracketed
+from .keywords import array_items
 
 # Extra guidance by type.
 GUIDANCE = {"method": "Accept only techniques that were applied.", "experiment": "Accept only work that was carried out.", "dataset": "Accept only named or described data."}
@@ -46,9 +46,8 @@ def parse_validation(responses: DataFrame, thresholds: DataFrame | None = None)
     name no fragment of the batch are skipped. A fragment named twice counts twice.
     """
     types = thresholds if thresholds is not None else type_table(responses.sparkSession).select("entity_type", "threshold")
-    v = F.try_parse_json(bracketed(F.col("content")))
-    parsed = responses.withColumn("_v", v).withColumn("_items", F.when(F.schema_of_variant("_v").startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>")))
-    rows = parsed.select("paper_id", "entity_type", "batch_id", "n", F.posexplode("_items").alias("pos", "_e")).join(F.broadcast(types), "entity_type", "left")
+    rows = responses.withColumn("_items", array_items(F.col("content")))
+    rows = rows.select("paper_id", "entity_type", "batch_id", "n", F.posexplode("_items").alias("pos", "_e")).join(F.broadcast(types), "entity_type", "left")
     threshold = F.coalesce("threshold", F.lit(FALLBACK_THRESHOLD))
     is_object = F.schema_of_variant("_e").startswith("OBJECT")
     get = lambda name: F.when(is_object, F.try_variant_get("_e", f"$.{name}", "variant"))
