@@ -118,9 +118,9 @@ def read_turns(formatted: Column) -> Column:
     turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
     def read(turn: Column) -> Column:
-        role = F.substring_index(turn, '">', 1)
-        body = turn.substr(F.length(role) + 3, F.length(turn))
-        return F.struct(unescape(role.substr(F.lit(len('<turn role="') + 1), F.length(role))).alias("role"), unescape(body).alias("text"))
+        rest = turn.substr(F.lit(len('<turn role="') + 1), F.length(turn))
+        role = F.substring_index(rest, '">', 1)
+        return F.struct(unescape(role).alias("role"), unescape(rest.substr(F.length(role) + 3, F.length(rest))).alias("text"))
 
     return F.transform(turns, read)
 
