@@ -8,13 +8,14 @@ its transpose as far as size bounds leave anything to add up:
    has. The sum over the blocks bounds every overlap of the class from above. Classes whose sum is below
    `threshold` of their size link with nothing and are done: most of a corpus ends here.
 3. Among the rest a pair that links shares an n-gram within the first size - ceil(threshold * size) + 1 of
-   both sets in hash order. Each such n-gram proposes its holders to a common pivot; the proposed pairs'
-   overlaps are counted exactly, and the links found are contracted to components.
-4. What an n-gram still holds in different components is proposed pair by pair, as far as the sizes and
-   the bounds of step 2 allow the needed overlap, and counted exactly. No pair that could link is left out.
+   both sets, in an order that puts rare n-grams first (by a counter array of fixed size, then by hash: any
+   order is right, a good one proposes little). The holders of each such n-gram join one candidate group.
+4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Each pair of tiles is
+   multiplied exactly, a column block at a time; pairs below what their sizes ask for are discarded, and
+   the tiles yield a spanning forest of their links instead of the links themselves.
 
-So a group of near copies costs a row for each member and not for each pair, and documents that merely
-share a common passage fall to the bounds.
+So nothing is ever a row for each pair: classes, entries, tiles and forests are linear in the documents, and
+a large group of near copies costs only products of bounded tiles. Components of the forests are the result.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than n words
 has one n-gram, the whole sequence. Defined results: null, empty and blank texts have no n-grams and link
@@ -24,7 +25,6 @@ left out; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -36,24 +36,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
-from .shared import connected_components, saved
+from .shared import bloom_filter, connected_components, in_filter, saved
 
 #: N-grams of a column block, about.
-BLOCK = 1_000_000
-#: Words whose hashes a Python worker keeps; the cache only saves time.
-CACHE_WORDS = 500_000
-#: White space for str.split() that is none here.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-WORDS = re.compile(r"[^\x20\x09-\x0d]+")
+BLOCK = 3_000_000
+#: Documents of a tile, and columns multiplied at a time.
+TILE, COLUMNS = 512, 4096
+#: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
+CELLS, SHARD = 1 << 18, 16_384
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """word -> 64-bit hash of the word with A-Z lower-cased."""
+BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: A random 64-bit value for each byte, A-Z as a-z; and which bytes are white space.
+BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+BYTES[65:91] = BYTES[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_POWERS: dict[int, np.ndarray] = {}
 
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode().lower())
-        return h
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64, at least n of them."""
+    if len(_POWERS.get(base, ())) < n:
+        table = np.full(max(n, 1 << 20), base, np.uint64)
+        table[0] = 1
+        _POWERS[base] = np.multiply.accumulate(table)
+    return _POWERS[base]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,33 +70,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(text: str, cache: Hashes) -> np.ndarray:
-    words = WORDS.findall(text) if ODD.search(text) else text.split()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of the texts, in order, and the number of words of each text.
 
-def ngram_set(text: str, n: int, cache: Hashes) -> np.ndarray:
-    """The distinct n-gram hashes of a text, sorted."""
-    words = word_hashes(text, cache)
-    if not len(words):
-        return words
-    width = min(n, len(words))
-    h = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        h = mixed(h * P + words[k : k + len(h)])
-    return np.unique(h)
+    A word's hash is a polynomial over its bytes, the difference of two prefix sums.
+    """
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    inside = ~SPACE[data]
+    edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
+    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * powers(BASE, len(data))[: len(data)], out=sums[1:])
+    hashes = mixed((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data))[starts])
+    offsets = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def ngram_sets_of(texts: list[str], n: int) -> list[np.ndarray]:
+    """The distinct n-gram hashes of each text, sorted."""
+    words, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for k in range(n):
+        grams *= P
+        grams += words[k : k + len(grams)]
+    grams = mixed(grams)
+    sets = []
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        if b - a >= n:
+            sets.append(np.unique(grams[a : b - n + 1]))
+        elif b > a:
+            h = np.full(1, b - a, np.uint64)
+            for w in words[a:b]:
+                h = h * P + w
+            sets.append(mixed(h))
+        else:
+            sets.append(np.empty(0, np.uint64))
+    return sets
 
 
 def set_rows(n: int, emit):
-    """The map over (doc_id, text) whose emit gets the ids and the sets of about a million characters."""
+    """The map over (doc_id, text) whose emit gets the ids and the sets of about two million characters."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache = Hashes()
         for batch in batches:
-            for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4_000_000):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                yield from emit(ids, [ngram_set(t, n, cache) for t in texts])
+            for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 2_000_000):
+                yield from emit(ids, ngram_sets_of(texts, n))
 
     return run
 
@@ -102,7 +131,7 @@ def digests(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs, set_rows(n, emit), struct("doc_id long, n_shingles long, k1 long, k2 long"))
 
 
-def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
+def shared_counts(docs: DataFrame, n: int, blocks: int, shards: int) -> DataFrame:
     """(k1, shared): for each class an upper bound of the n-grams that other classes have too.
 
     A block's rows carry 32 of the 64 hash bits, the block's number about log2(blocks) more; what collides
@@ -140,68 +169,161 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         others = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         shared = np.bincount((entry[others] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
         at = np.nonzero(shared)[0]
-        return pd.DataFrame({"k1": keys[at], "shared": shared[at]})
+        keys, shared = keys[at], shared[at].astype("<u4")
+        shard = keys.astype(np.uint64) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        which, ends = np.unique(shard[order], return_index=True)
+        parts = np.split(order, ends[1:])
+        return pd.DataFrame({"shard": which.astype(np.int32), "keys": [keys[x].tobytes() for x in parts], "shared": [shared[x].tobytes() for x in parts]}) if len(at) else pd.DataFrame({"shard": np.empty(0, np.int32), "keys": [], "shared": []})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, own = np.unique(np.frombuffer(b"".join(rows["keys"]), "<i8"), return_inverse=True)
+        return pd.DataFrame({"k1": keys, "shared": np.bincount(own, np.frombuffer(b"".join(rows["shared"]), "<u4")).astype(np.int64)})
 
     cut = map_arrow(docs, set_rows(n, emit), struct("block int, hashes binary, classes binary, counts binary"))
-    return cut.groupBy("block").applyInPandas(multiply, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    products = cut.groupBy("block").applyInPandas(multiply, "shard int, keys binary, shared binary")
+    return products.groupBy("shard").applyInPandas(add, "k1 long, shared long")
 
 
-def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, k1, set): sorted distinct hashes, and the digest's first half."""
+def ngram_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(doc_id, size, set) of the documents in wanted (doc_id, k1): sorted distinct hashes, little-endian.
 
-    def emit(ids, sets):
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)
-        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes())[:8] for s in sets), "<i8")
-        yield {"doc_id": ids, "k1": pa.array(keys), "set": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
+    A Bloom filter of fixed size picks them in the scan, so that no text is shuffled; the join is exact.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.xxhash64("doc_id").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            hit = np.nonzero(in_filter(bits.value, batch.column(2).to_numpy().view(np.uint64)))[0]
+            some = batch.take(pa.array(hit))
+            for ids, texts in runs_of_chars(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                sets = ngram_sets_of(texts, n)
+                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes())[:8] for s in sets), "<i8")
+                yield {"doc_id": ids, "k1": pa.array(keys), "size": [len(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+    made = map_arrow(docs.withColumn("h", F.xxhash64("doc_id")), run, struct("doc_id long, k1 long, size int, set binary"))
+    return made.join(wanted, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]).drop("k1")
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many n-grams of the sets fall into each cell of the counter array."""
 
-    return map_arrow(docs, set_rows(n, emit), struct("doc_id long, k1 long, set array<long>"))
+    def run(batches: Iterator[pa.RecordBatch]):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            for a in range(0, len(own), 4_000_000):
+                cells += np.bincount((own[a : a + 4_000_000] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.nonzero(cells)[0]
+        yield {"cell": at.astype(np.int32), "n": cells[at]}
 
+    found = map_arrow(sets.select("set"), run, struct("cell int, n long")).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    cells = np.zeros(CELLS, np.int64)
+    cells[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return cells
 
-def verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(common * share.denominator >= union * share.numerator).select("a", "b")
 
+def prefixes(sets: DataFrame, cells: np.ndarray, p: int, q: int) -> DataFrame:
+    """(doc_id, h): the n-grams of which a linked pair shares one."""
+    sent = sets.sparkSession.sparkContext.broadcast(cells)
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(3, 4), pivots: int = 2) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids, found = [], []
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(x, "<u8")
+                keep = len(h) + (-len(h) * p) // q + 1  # size - ceil(size * p / q) + 1
+                order = np.argsort(sent.value[(h % np.uint64(CELLS)).astype(np.int64)], kind="stable")[:keep]
+                found.append(h[order])
+                ids.append(np.full(len(order), doc_id, np.int64))
+            if ids:
+                yield {"doc_id": pa.array(np.concatenate(ids)), "h": pa.array(np.concatenate(found).view(np.int64))}
+
+    return map_arrow(sets.select("doc_id", "set"), run, struct("doc_id long, h long"))
+
+
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node it reaches by the edges."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the links among the rows of a tile, or between the rows of two tiles."""
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    h = np.concatenate(sets)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    column = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+    held = np.bincount(column)[column] > 1  # a column with one row adds to no pair
+    row, column = row[held], column[held]
+    first = tile == tile.min()
+    one_tile = bool(first.all())
+    left, right = np.nonzero(first)[0], np.nonzero(first if one_tile else ~first)[0]
+    place = np.empty(n, np.int64)
+    place[right] = np.arange(len(right))
+    place[left] = np.arange(len(left))
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    if len(row):
+        column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]))
+        starts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
+        for a, b in zip(starts, [*starts[1:], len(column)]):
+            rows, at = np.unique(row[a:b], return_inverse=True)
+            block = np.zeros((len(rows), COLUMNS), np.float32)
+            block[at, column[a:b] - column[a]] = 1
+            mine = first[rows]
+            other = mine if one_tile else ~mine
+            overlap[np.ix_(place[rows[mine]], place[rows[other]])] += block[mine] @ block[other].T
+    linked = overlap * (p + q) >= p * (sizes[left][:, None] + sizes[right][None])
+    i, j = np.nonzero(linked)
+    label = forest(left[i], right[j], n)
+    at = np.nonzero(label != np.arange(n))[0]
+    return ids[at], ids[label[at]]
+
+
+def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): spanning forests of the links within candidate groups (node, label)."""
+    rows = sets.join(groups.select(F.col("node").alias("doc_id"), "label"), "doc_id")
+    tiles = rows.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "label").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    # A tile meets itself and every other once.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    rows = rows.select("label", "i", "j", "tile", "doc_id", "set")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = tile_links(group["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], group["tile"].to_numpy(), p, q)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return rows.groupBy("label", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: the smallest id reachable by links."""
     docs = id_and_text(df, id_col, text_col).where("doc_id is not null")
     p, q = threshold.numerator, threshold.denominator
     table = digests(docs, n).groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("d"))
     table = saved(table.select("doc_id", "d.*"))
     classes = table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
-    total = table.agg(F.sum("n_shingles")).first()[0] or 0
-    bound = shared_counts(docs, n, max(1, -(-total // BLOCK)))
-    rest = classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select("rep", "k1", "size", F.least("shared", "size").alias("shared"))
-    rest = saved(rest)
-    reps = rest.select(F.col("rep").alias("doc_id"), "k1")
-    sets = ngram_sets(docs.join(reps, "doc_id", "left_semi"), n).join(reps, ["doc_id", "k1"], "left_semi")
-    sets = saved(sets.dropDuplicates(["doc_id"]).select("doc_id", "set"))
-    # size - ceil(size * p / q) + 1
-    first = F.expr(f"slice(set, 1, size(set) - cast((size(set) * {p}L + {q - 1}) div {q} as int) + 1)")
-    entries = sets.select("doc_id", F.explode(first).alias("h"))
-    held = entries.groupBy("h").agg(F.count("*").alias("n"), *(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).alias(f"p{k}") for k in range(pivots))).where("n > 1").drop("n")
-    proposed = entries.join(held, "h").select("doc_id", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("p")).where("doc_id <> p")
-    proposed = proposed.select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
-    links = saved(verified(proposed, sets, threshold))
-    label = connected_components(links)
-    known = entries.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    known = saved(known.join(rest.select(F.col("rep").alias("doc_id"), "size", "shared"), "doc_id"))
-    mixed_h = known.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
-    open_ = known.join(mixed_h, "h", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    # From the smaller set x: overlap * (p + q) >= p * (|x| + |y|), and an overlap is at most what either shares.
-    enough = lambda side: F.col(f"{side}.shared") * (p + q) >= (F.col("x.size") + F.col("y.size")) * p
-    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & smaller & enough("x") & enough("y"))
-    pairs = pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
-    late = saved(verified(pairs, sets, threshold))
-    final = connected_components(links.unionByName(late))
+    total, n_docs = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
+    bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), max(1, -(-n_docs // SHARD)))
+    rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1"))
+    sets = saved(ngram_sets(docs, n, rest))
+    entries = prefixes(sets, rarity(sets), p, q)
+    held = entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    proposed = entries.join(held, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    links = linked_in_groups(sets, connected_components(proposed), p, q)
+    final = connected_components(links)
     members = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     return table.join(members, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
@@ -210,4 +332,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     """The rows of df whose id is the smallest of its component, and rows without an id."""
     parts = jaccard_components(df, id_col=id_col, **options)
     gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
