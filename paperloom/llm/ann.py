@@ -109,8 +109,10 @@ def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float,
     q2, c2 = (queries**2).sum(1), (cands**2).sum(1)
     q2_used, c2_used = (rq[:, :used] ** 2).sum(1), (rc[:, :used] ** 2).sum(1)
     best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    bounds = np.where(np.isfinite(bounds), bounds, -1e30)
+    lowest = -2 * math.sqrt(q2.max(initial=0) * c2.max(initial=0)) - 1  # below every product
+    bounds = np.where(np.isfinite(bounds), bounds, lowest)
     grow, wide = dim / used, slack(used, dim, z)
+    rounding = 1e-5 * (grow + wide)  # single precision must not lose what lies at the bound
     for start in range(0, len(cands), step):
         part = slice(start, start + step)
         # |q - c|^2 on the used columns, scaled up, against |q - c|^2 at the bound: split into terms of q, of c and of both
@@ -118,13 +120,13 @@ def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float,
         of_c = (c2_used[part] * grow - wide * c2[part]).astype(np.float32)
         both = (rq[:, :used] * np.float32(2 * grow)) @ rc[part, :used].T
         both -= of_c
-        qi, ci = np.nonzero(both >= of_q[:, None] - np.float32(1e-5) * np.abs(of_q[:, None]) - np.float32(1e-6))
+        qi, ci = np.nonzero(both >= (of_q - rounding * (q2 + np.abs(bounds) + c2[part].max())).astype(np.float32)[:, None])
         ci = ci + start
         seen = q2_used[qi] + c2_used[ci] - (both[qi, ci - start] + of_c[ci - start]) / (2 * grow) * 2
         for a, b in zip(ends, ends[1:]):
             seen = seen + ((rq[qi, a:b] - rc[ci, a:b]) ** 2).sum(1)
             if b < dim:
-                keep = seen * (dim / b) <= (q2[qi] + c2[ci] - 2 * bounds[qi]) * slack(b, dim, z) + 1e-5
+                keep = seen * (dim / b) <= (q2[qi] + c2[ci] - 2 * bounds[qi]) * slack(b, dim, z) + rounding * (q2[qi] + c2[ci])
                 qi, ci, seen = qi[keep], ci[keep], seen[keep]
         keep = q_ids[qi] != c_ids[ci]
         qi, ci = qi[keep], ci[keep]
