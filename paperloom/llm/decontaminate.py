@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised to a template: numbers, units and names (capitalised words inside a sentence)
-become typed placeholders, other words lose their case and outer punctuation. Windows of WINDOW template
+become typed placeholders, other words lose their case and outer punctuation. What counts as a name depends on
+the words around it, so windows with names also stand in a second form without. Windows of WINDOW template
 words of the documents are hash-joined with those of the benchmark; shorter items are one window of their
 own length. A joined pair of windows must be consistent: within a document and item, each slot value of
 the item stands for one value of the document and the reverse, so re-parameterised questions match and
@@ -63,8 +64,8 @@ class Words(dict):
         return self[word]
 
 
-def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts, where each text's words begin, and each word's template hash and kind."""
+def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts, where each text's words begin, and each word's template hash, kind, and hash if it is no name."""
     if len(cache.rows) > CACHE_WORDS:
         cache.clear()
         cache.rows = []
@@ -80,9 +81,10 @@ def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np
         capital, ends = np.array([r[2] for r in rows], bool)[index], np.array([r[3] for r in rows], bool)[index]
         inside = np.concatenate([[False], ~ends[:-1]])
         inside[starts[:-1][starts[:-1] < len(words)]] = False
+        plain = np.where(kind == PLAIN, hashes, SLOT_HASH[kind])
         kind = np.where(capital & inside & (kind == PLAIN), NAME, kind)
-        hashes = np.where(kind == PLAIN, hashes, SLOT_HASH[kind])
-    return words, starts, hashes, kind
+        return words, starts, np.where(kind == NAME, SLOT_HASH[NAME], plain), kind, plain
+    return words, starts, hashes, kind, hashes
 
 
 def windows(hashes: np.ndarray, kind: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +112,26 @@ def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame
         bits = None if bloom is None else bloom.value
         for batch in batches:
             for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, starts, hashes, kind = canonical(texts, cache)
+                words, starts, hashes, kind, plain = canonical(texts, cache)
                 out = {"id": [], "pos": [], "size": [], "h": [], "slots": []}
                 lengths = np.diff(starts)
+                unnamed = np.where(kind == NAME, PLAIN, kind)
+                named = np.concatenate([[0], np.cumsum(kind == NAME)])
                 for size in sizes if sizes is not None else sorted({WINDOW, *(int(x) for x in lengths if 0 < x < WINDOW)}):
-                    at, h = windows(hashes, kind, starts, size)
-                    text = np.searchsorted(starts, at, side="right") - 1
-                    if sizes is None and size < WINDOW:
-                        own = lengths[text] == size
-                        at, h, text = at[own], h[own], text[own]
-                    if bits is not None:
-                        hit = in_filter(bits, h)
-                        at, h, text = at[hit], h[hit], text[hit]
-                    out["id"] += [ids[k] for k in text.tolist()]
-                    out["pos"] += (at - starts[text]).tolist()
-                    out["size"] += [size] * len(at)
-                    out["h"] += h.view(np.int64).tolist()
-                    out["slots"] += [[words[k].strip(".,;:!?").lower() for k in range(a, a + size) if kind[k]] for a in at.tolist()]
+                    for forms, kinds in ((hashes, kind), (plain, unnamed)):
+                        at, h = windows(forms, kinds, starts, size)
+                        keep = np.ones(len(at), bool) if forms is hashes else named[at + size] > named[at]  # the second form only where it differs
+                        text = np.searchsorted(starts, at, side="right") - 1
+                        if sizes is None and size < WINDOW:
+                            keep &= lengths[text] == size
+                        if bits is not None:
+                            keep &= in_filter(bits, h)
+                        at, h, text = at[keep], h[keep], text[keep]
+                        out["id"] += [ids[k] for k in text.tolist()]
+                        out["pos"] += (at - starts[text]).tolist()
+                        out["size"] += [size] * len(at)
+                        out["h"] += h.view(np.int64).tolist()
+                        out["slots"] += [[words[k].strip(".,;:!?").lower() for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
                 yield out
 
     return map_arrow(df, run, struct("id long, pos int, size int, h long, slots array<string>"))
@@ -154,4 +159,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that no benchmark item contaminates."""
     gone = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
