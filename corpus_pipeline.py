@@ -25,10 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a document of smaller id holds; n_chars is counted anew."""
     from paperloom.llm.line_dedup import dedup_lines
 
-    kept = dedup_lines(docs)
+    kept = dedup_lines(docs, counts=None)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,14 @@ def as_batch(out: pa.RecordBatch | dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, type=f.type) for f in target], schema=target)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, behind as many underscores as no column in taken has, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def runs_of_chars(ids: list, texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
     """The rows of a batch in slices of about `limit` characters: whole texts, bounded working memory."""
     start = size = 0

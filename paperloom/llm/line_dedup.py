@@ -59,8 +59,11 @@ def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
     return seen.where(F.col("n") >= min_docs).drop("n")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """The rows of df with text_col deduplicated, and two columns more: _n_lines and _n_dropped."""
+def dedup_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")
+) -> DataFrame:
+    """The rows of df with text_col deduplicated, and the two columns that counts names, which replace any of that name."""
+    df = df.drop(*(counts or ()))
     keys = hashed_lines(id_and_text(df, id_col, text_col), min_chars)
     drops = (
         keys.join(shared_lines(keys, min_docs), ["h1", "h2"])
@@ -69,10 +72,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     )
     drops = drops.select("_drop_id", F.col("_drops.h1").alias("_h1"), F.col("_drops.h2").alias("_h2"))
-    joined = df.join(drops, F.col(id_col).cast("long") == F.col("_drop_id"), "left").drop("_drop_id")
+    joined = df.join(drops, df[id_col].cast("long") == drops["_drop_id"], "left").drop(drops["_drop_id"])
     columns = df.columns
     at = columns.index(text_col)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), *(T.StructField(c, T.LongType()) for c in counts or ())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -90,6 +93,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     n_dropped.append(0)
                 texts.append(text)
             out = {name: batch.column(k) for k, name in enumerate(columns)}
-            yield out | {text_col: texts, "_n_lines": n_lines, "_n_dropped": n_dropped}
+            yield out | {text_col: texts} | (dict(zip(counts, (n_lines, n_dropped))) if counts else {})
 
     return map_arrow(joined, run, schema)

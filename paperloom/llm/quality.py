@@ -8,7 +8,7 @@ instead would shuffle a row for every character of the corpus.
 
 A document's score is its mean negative log-probability for a character, shrunk towards the mean of the
 trusted text by PRIOR_CHARS characters, so that a few words decide nothing. The threshold of a language is a high
-quantile of its trusted documents' scores, stretched by a slack factor; documents above it are rejected.
+quantile of its trusted documents' scores and a slack, in nats a character; documents above it are rejected.
 
 Defined results: null text counts as empty and an empty text scores the mean of the trusted text, which
 keeps it; a language without trusted documents uses the widest limit of the others; null languages are a
@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
+from .arrow_io import free_name, id_and_text, map_arrow, runs_of_chars, struct
 from .shared import likely
 
 ORDER, SYMBOLS = 4, 48
@@ -132,12 +132,12 @@ def fit(trusted: DataFrame) -> Model:
     return Model(logp, prior)
 
 
-def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with _score of its whole texts."""
+def with_score(df: DataFrame, model: Model, text_col: str, into: str) -> DataFrame:
+    """df with the score of its whole texts in the column into, which df does not have."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     columns = df.columns
     at = columns.index(text_col)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = sent.value
@@ -149,7 +149,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 sums = np.concatenate([[0.0], np.cumsum(-own.logp[gram], dtype=np.float64)])
                 ends = np.cumsum(lengths)
                 scores.append((sums[ends] - sums[ends - lengths] + PRIOR_CHARS * own.prior) / (lengths + PRIOR_CHARS))
-            yield {c: batch.column(k) for k, c in enumerate(columns)} | {"_score": np.concatenate(scores or [[]])}
+            yield {c: batch.column(k) for k, c in enumerate(columns)} | {into: np.concatenate(scores or [[]])}
 
     return map_arrow(df, run, schema)
 
@@ -158,22 +158,38 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("_trusted_id")).where("_trusted_id is not null").distinct()
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.08) -> DataFrame:
-    """df with _score, _limit and _keep. labels marks trusted documents with 1 in label_col."""
+def fit_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, quantile: float) -> tuple[Model, dict[str | None, float]]:
+    """The model of the trusted documents, and the quantile of their scores for each language; None: the widest."""
     trusted = trusted_ids(labels, id_col, label_col)
     texts = likely(id_and_text(df, id_col, text_col), trusted, "doc_id", "_trusted_id")  # so that only these are shuffled
     model = fit(texts.join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted_id"), "left_semi"))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))
-    narrow = with_score(df.select(F.col(id_col).cast("long").alias("_id"), lang.alias("_lang"), F.col(text_col).alias("text")), model).drop("text")
-    known = narrow.join(trusted, F.col("_id") == F.col("_trusted_id"), "left_semi")
-    limits = known.groupBy("_lang").agg(F.expr(f"percentile_approx(_score, {quantile}, 10000)").alias("_limit")).toPandas()  # one row for each language
-    limit = F.lit(float(limits["_limit"].max()) if len(limits) else float("inf"))
-    for k, v in zip(limits["_lang"], limits["_limit"]):
-        limit = F.when(lang == k, F.lit(float(v))).otherwise(limit)
-    scored = with_score(df, model, text_col)
-    return scored.withColumn("_limit", limit * slack).withColumn("_keep", F.col("_score") <= F.col("_limit"))
+    narrow = df.select(F.col(id_col).cast("long").alias("_id"), language(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    known = with_score(narrow, model, "_text", "_score").drop("_text").join(trusted, F.col("_id") == F.col("_trusted_id"), "left_semi")
+    limits = known.groupBy("_lang").agg(F.expr(f"percentile_approx(_score, {quantile}, 10000)").alias("_limit")).collect()  # one row for each language
+    found: dict[str | None, float] = {r["_lang"]: r["_limit"] for r in limits}
+    return model, found | {None: max(found.values(), default=float("inf"))}
+
+
+def language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))
+
+
+def score_quality(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 0.15,
+    into: tuple[str, str] = ("_score", "_keep"),
+) -> DataFrame:
+    """df with the score of each document and whether it is kept, in the columns that into names and that replace any of
+    that name. labels marks trusted documents with 1 in label_col."""
+    df = df.drop(*into)
+    model, limits = fit_quality(df, labels, id_col, text_col, lang_col, label_col, quantile)
+    limit = F.lit(limits[None])
+    for k, v in limits.items():
+        if k is not None:
+            limit = F.when(language(lang_col) == k, F.lit(v)).otherwise(limit)
+    return with_score(df, model, text_col, into[0]).withColumn(into[1], F.col(into[0]) <= limit + slack)
 
 
 def filter_quality(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of df that the classifier keeps, with the columns of df."""
-    return score_quality(df, labels, **options).where("_keep").select(*df.columns)
+    into = free_name(df.columns, "_score"), free_name(df.columns, "_keep")
+    return score_quality(df, labels, into=into, **options).where(F.col(into[1])).select(*df.columns)
