@@ -48,3 +48,38 @@ def hourly_totals(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(start, user_id, requests, cost, entities) of each hour, emitted once the watermark has passed it."""
     hours = requests.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "user_id")
     return hours.agg(F.count("*").alias("requests"), F.sum("cost").alias("cost"), F.sum("entities").alias("entities")).select(F.col("window.start").alias("start"), "user_id", "requests", "cost", "entities")
+
+
+def busy_flags(events: DataFrame, late: str = "10 minutes", expire_minutes: int = 60) -> DataFrame:
+    """(user_id, ts, accepted) of start events of a stream (user_id, ts, event: start or finish).
+
+    A user has one job at a time: a start while one is running is refused, and a refused start never frees the running
+    one. A job that never finishes is forgotten `expire_minutes` after it began, in event time.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        began = state.get[0] if state.exists else None
+        limit = expire_minutes * 60_000_000
+        # A job that ends at a moment makes room for one that begins then.
+        rows = pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable")
+        out = []
+        for ts, micros, event in zip(rows["ts"], rows["ts"].astype("datetime64[us]").astype("int64"), rows["event"]):
+            running = began is not None and micros < began + limit
+            if event == "finish":
+                began = None
+            elif event == "start":
+                out.append((ts, not running))
+                began = began if running else micros
+        if began is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((began,))
+            state.setTimeoutTimestamp(max((began + limit) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "ts": [o[0] for o in out], "accepted": [o[1] for o in out]})
+
+    watched = events.withWatermark("ts", late).select("user_id", "ts", "event")
+    return watched.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, accepted boolean", "began long", "append", GroupStateTimeout.EventTimeTimeout)
