@@ -206,16 +206,20 @@ def cytoscape_elements(spark, sf_dir):
     return graph(spark, sf_dir).cytoscape().groupBy("paper_id").agg(F.count("json").alias("n"))
 
 
-@query("result_export")
+@query(
+    "result_export",
+    f"""WITH {EDGES_SQL}, v AS (SELECT paper_id, count(*) AS n_entities, count(DISTINCT type) AS n_types FROM fx GROUP BY 1), d AS (SELECT paper_id, count(*) AS n, round(sum(confidence), 6) AS total FROM edges GROUP BY 1)
+    SELECT paper_id, n_entities, n_types, coalesce(d.n, 0) AS n_relationships, coalesce(d.total, 0) AS total_confidence FROM v LEFT JOIN d USING (paper_id)""",
+)
 def result_export(spark, sf_dir):
-    from ..sources.results import result_json
-
-    return result_json(graph(spark, sf_dir).results())
+    """The exported JSON, read back."""
+    from ..sources.results import parse_results, result_json
 
-
-@query("wrap_text")
-def wrap_text(spark, sf_dir):
-    return fx.entities(spark, sf_dir).select("doc_id", wrap(F.coalesce("text", F.lit(""))).alias("lines"))
+    back = parse_results(result_json(graph(spark, sf_dir).results()))
+    v = back.vertices.groupBy("paper_id").agg(F.count("*").alias("n_entities"), F.countDistinct("type").alias("n_types"))
+    e = back.edges.groupBy("paper_id").agg(F.count("*").alias("n_relationships"), F.round(F.sum("confidence"), 6).alias("total_confidence"))
+    joined = v.join(e, "paper_id", "left")
+    return joined.select("paper_id", "n_entities", "n_types", F.coalesce("n_relationships", F.lit(0)).alias("n_relationships"), F.coalesce("total_confidence", F.lit(0.0)).alias("total_confidence"))
 
 
 def _case(values: dict, other) -> str:
@@ -258,10 +262,22 @@ def edge_geometry(spark, sf_dir):
     return layout.edge_geometry(layout.column_layout(g.vertices), g.edges).drop("colour")
 
 
-@query("svg_documents")
+@query(
+    "svg_documents",
+    f"""WITH {PLACED_SQL}, v AS (SELECT paper_id, count(*) AS n_nodes, max(y + height + 20) + 150 AS canvas FROM placed GROUP BY 1), d AS (SELECT paper_id, count(*) AS n FROM edges GROUP BY 1)
+    SELECT paper_id, n_nodes, coalesce(d.n, 0) AS n_edges, CAST(canvas AS BIGINT) AS canvas FROM v LEFT JOIN d USING (paper_id)""",
+)
 def svg_documents(spark, sf_dir):
+    """What the drawings hold."""
     g = graph(spark, sf_dir)
-    return layout.svg_documents(g.vertices, g.edges)
+    svg = layout.svg_documents(g.vertices, g.edges)
+    count = lambda tag: F.size(F.split("svg", f"<{tag} ", -1)).cast("long") - 1
+    return svg.select("paper_id", count("rect").alias("n_nodes"), count("path").alias("n_edges"), F.regexp_extract("svg", r'height="(\d+)"', 1).cast("long").alias("canvas"))
+
+
+@query("wrap_text", f"WITH {PLACED_SQL} SELECT doc_id, (CASE WHEN s.w = 0 THEN 0 ELSE s.n END)::BIGINT AS n_lines FROM wr")
+def wrap_text(spark, sf_dir):
+    return fx.entities(spark, sf_dir).select("doc_id", F.size(wrap(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"))
 
 
 @query(
