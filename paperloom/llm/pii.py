@@ -123,7 +123,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, least_docs: int, general
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """(doc_id, spans, sanitized) for each row: pattern spans by kind and start, then the terms' spans.
+    """(doc_id, spans, sanitized) for each row: pattern spans by kind and start, then the terms' spans likewise.
 
     Offsets are code points, the end exclusive. A term's kind is `term` if it is removed and `name` or `word` by its
     shape if it is generalised. In sanitized every span is replaced.
@@ -144,7 +144,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     extra = texts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), kinds.alias("_terms"))
     keyed = marked.withColumn("_has", F.when(F.size("spans") > 0, F.xxhash64("text")))
     joined = keyed.join(extra, (F.col("doc_id") == F.col("_id")) & (F.col("_has") == F.col("_key")), "left")
-    all_spans = F.concat("spans", F.coalesce("_terms", F.array().cast(SPAN)))
+    all_spans = F.concat("spans", F.array_sort(F.coalesce("_terms", F.array().cast(SPAN))))
     return joined.select("doc_id", all_spans.alias("spans"), sanitized(F.col("text"), all_spans).alias("sanitized"))
 
 
