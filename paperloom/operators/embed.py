@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -24,6 +25,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=100_000)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEmbedder:
     """The offline default: signed hashed words, scaled to length 1. It claims no quality, only determinism."""
 
@@ -34,7 +40,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
             for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = word_hash(word)
                 row[h % self.dim] += 1 if h >> 63 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)

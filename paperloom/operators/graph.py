@@ -42,9 +42,8 @@ class KnowledgeGraph:
         return out.union(self.edges.select("target_id", "source_id")).distinct()
 
     def totals(self) -> DataFrame:
-        v = self.vertices.agg(F.count("*").alias("total_entities"))
-        e = self.edges.agg(F.count("*").alias("total_relationships"))
-        return v.join(e)  # one row each
+        edges = self.edges.agg(F.count("*")).scalar()
+        return self.vertices.agg(F.count("*").alias("total_entities")).select("total_entities", edges.alias("total_relationships"))
 
     def statistics(self) -> DataFrame:
         """(paper_id, level, name, n): totals and counts by type for each paper, the two tables grouped once."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..schemas import Settings, type_table
+from ..schemas import TYPE_SETTINGS, Settings
 
 
 def bracketed(response: Column) -> Column:
@@ -22,9 +22,14 @@ def array_items(response: Column) -> Column:
     The parser ignores what follows a value, so the array is parsed as the only field of the only element of another.
     """
     wrapped = F.try_parse_json(F.concat(F.lit('[{"v":'), bracketed(response), F.lit("}]")))
-    whole = F.try_variant_get(wrapped, "$", "array<map<string,variant>>")
-    only = F.when((F.size(whole) == 1) & (F.size(whole[0]) == 1), whole[0]["v"])
-    return F.when(F.schema_of_variant(only).startswith("ARRAY"), F.try_variant_get(only, "$", "array<variant>"))
+    whole = once(wrapped, lambda w: F.try_variant_get(w, "$", "array<map<string,variant>>"))
+    only = once(whole, lambda x: F.when((F.size(x) == 1) & (F.size(x[0]) == 1), x[0]["v"]))
+    return once(only, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")))
+
+
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def keyword_prompt(title: Column, abstract: Column, introduction: Column, entity_type: Column, description: Column, n: int = Settings.max_keywords) -> Column:
@@ -40,7 +45,8 @@ def prompts(papers: DataFrame) -> DataFrame:
 
     prompt_key is equal for equal prompts, so that repeated papers are asked about once.
     """
-    asked = papers.join(F.broadcast(type_table(papers.sparkSession).select("entity_type", "description")))  # 8 rows
+    types = F.array(*(F.struct(F.lit(t).alias("entity_type"), F.lit(s.description).alias("description")) for t, s in TYPE_SETTINGS.items()))
+    asked = papers.select("*", F.inline(types))
     prompt = keyword_prompt(F.col("title"), F.col("abstract"), F.col("introduction"), F.col("entity_type"), F.col("description"))
     return asked.select("paper_id", "entity_type", prompt.alias("prompt")).withColumn("prompt_key", F.md5("prompt"))
 

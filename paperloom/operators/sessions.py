@@ -25,8 +25,7 @@ def admission(requests: DataFrame, limit: int = Settings.requests_per_hour) -> D
 def user_stats(requests: DataFrame, now: Column | None = None) -> DataFrame:
     """Totals of each user; the last hour counts back from now, or from the latest request of all."""
     if now is None:
-        latest = requests.agg(F.max("ts").alias("_now"))
-        requests, now = requests.crossJoin(F.broadcast(latest)), F.col("_now")  # one row
+        now = requests.agg(F.max("ts")).scalar()
     recent = F.unix_micros("ts") > F.unix_micros(now) - HOUR
     return requests.groupBy("user_id").agg(
         F.count("*").alias("total_requests"), F.sum("cost").alias("total_cost"), F.sum("entities").alias("total_entities"),

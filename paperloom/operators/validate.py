@@ -48,23 +48,27 @@ def parse_validation(responses: DataFrame, thresholds: DataFrame | None = None)
     types = thresholds if thresholds is not None else type_table(responses.sparkSession).select("entity_type", "threshold")
     rows = responses.withColumn("_items", array_items(F.col("content")))
     rows = rows.select("paper_id", "entity_type", "batch_id", "n", F.posexplode("_items").alias("pos", "_e")).join(F.broadcast(types), "entity_type", "left")
-    threshold = F.coalesce("threshold", F.lit(FALLBACK_THRESHOLD))
-    is_object = F.schema_of_variant("_e").startswith("OBJECT")
-    get = lambda name: F.when(is_object, F.try_variant_get("_e", f"$.{name}", "variant"))
+    # One step for each thing that later steps name more than once.
     kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("MISSING"))
+    get = lambda name: F.when(F.col("_object"), F.try_variant_get("_e", f"$.{name}", "variant"))
+    rows = rows.withColumn("_object", F.schema_of_variant("_e").startswith("OBJECT"))
     rows = rows.withColumns({"_valid": get("is_valid"), "_conf": get("confidence"), "_frag": get("fragment_id"), "_core": get("core_text")})
-    valid = is_object & F.coalesce(truthy(F.col("_valid")), F.lit(False))
-    number = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
-    conf_kind, frag_kind = kind(F.col("_conf")), kind(F.col("_frag"))
-    conf = F.when(conf_kind == "MISSING", F.lit(0.0)).when(conf_kind == "BOOLEAN", F.try_variant_get("_conf", "$", "boolean").cast("double")).otherwise(F.try_variant_get("_conf", "$", "double"))
-    frag = F.when(frag_kind == "MISSING", F.lit(0)).when(frag_kind == "BOOLEAN", F.try_variant_get("_frag", "$", "boolean").cast("int")).otherwise(F.try_variant_get("_frag", "$", "int"))
-    bad_conf = valid & (conf_kind != "MISSING") & ~conf_kind.rlike(number)
-    passed = valid & ~bad_conf & (F.coalesce(conf, F.lit(0.0)) >= threshold)
-    bad_frag = passed & (frag_kind != "MISSING") & ~frag_kind.rlike(r"^(BIGINT|BOOLEAN)")
-    named = passed & ~bad_frag & F.coalesce(frag.between(1, F.col("n")), F.lit(False))
-    bad = ~is_object | bad_conf | bad_frag | (named & (conf > 1))
+    rows = rows.withColumns({"_ok": F.col("_object") & F.coalesce(truthy(F.col("_valid")), F.lit(False)), "_ck": kind("_conf"), "_fk": kind("_frag")})
+
+    def number(value: str, kind_col: str, as_type: str):
+        missing, boolean = F.col(kind_col) == "MISSING", F.col(kind_col) == "BOOLEAN"
+        flag = F.try_variant_get(value, "$", "boolean").cast(as_type)
+        return F.when(missing, F.lit(0).cast(as_type)).when(boolean, flag).otherwise(F.try_variant_get(value, "$", as_type))
+
+    rows = rows.withColumns({
+        "confidence": number("_conf", "_ck", "double"), "fragment_id": number("_frag", "_fk", "int"),
+        "_bad_conf": F.col("_ok") & (F.col("_ck") != "MISSING") & ~F.col("_ck").rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"),
+    })
+    rows = rows.withColumn("_passed", F.col("_ok") & ~F.col("_bad_conf") & (F.coalesce("confidence", F.lit(0.0)) >= F.coalesce("threshold", F.lit(FALLBACK_THRESHOLD))))
+    rows = rows.withColumn("_bad_frag", F.col("_passed") & (F.col("_fk") != "MISSING") & ~F.col("_fk").rlike(r"^(BIGINT|BOOLEAN)"))
+    rows = rows.withColumn("_named", F.col("_passed") & ~F.col("_bad_frag") & F.coalesce(F.col("fragment_id").between(1, F.col("n")), F.lit(False)))
+    rows = rows.withColumn("_bad", ~F.col("_object") | F.col("_bad_conf") | F.col("_bad_frag") | (F.col("_named") & (F.col("confidence") > 1)))
     batch = Window.partitionBy("paper_id", "entity_type", "batch_id")
-    rows = rows.withColumns({"confidence": conf, "fragment_id": frag, "_bad": bad, "_named": named})
     rows = rows.withColumn("_stop", F.min(F.when(F.col("_bad"), F.col("pos"))).over(batch))
     core = F.when(truthy(F.col("_core")), F.col("_core").cast("string"))
     return rows.where((F.col("pos") < F.coalesce("_stop", F.lit(2**31 - 1))) & F.col("_named")).select("paper_id", "entity_type", "batch_id", "pos", "fragment_id", "confidence", core.alias("core_text"))
