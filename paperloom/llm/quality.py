@@ -93,7 +93,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """What modified Kneser-Ney takes off counts of 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
+    n1, n2, n3, n4 = (max(int(np.count_nonzero(counts == k)), 1) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
 
@@ -103,14 +103,22 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     by_order = [counts.reshape((SYMBOLS,) * ORDER)]
     while by_order[0].ndim > 1:
         by_order.insert(0, (by_order[0] > 0).sum(0))  # how many symbols precede it
-    p = np.full((), 1 / SYMBOLS)
-    for c in by_order:
+
+    def interpolated(c: np.ndarray, off: np.ndarray, lower: np.ndarray) -> np.ndarray:
         total = c.sum(-1, keepdims=True)
-        off = discounts(c)[np.minimum(c, 3)]
+        taken = off[np.minimum(c, 3)]
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = (c - off) / total + off.sum(-1, keepdims=True) / total * p
-        p = np.where(total > 0, own, p)
-    return np.log(p).astype(np.float32).ravel()
+            own = (c - taken) / total + taken.sum(-1, keepdims=True) / total * lower
+        return np.where(total > 0, own, lower)
+
+    p = np.full((), 1 / SYMBOLS)
+    for c in by_order[:-1]:
+        p = interpolated(c, discounts(c), p)
+    top, out = by_order[-1], np.empty(by_order[-1].shape, np.float32)
+    off = discounts(top)
+    for first in range(SYMBOLS):  # a slice at a time: the driver holds two tables, not ten
+        out[first] = np.log(interpolated(top[first], off, p))
+    return out.ravel()
 
 
 @dataclass
