@@ -40,8 +40,8 @@ from .shared import bloom_filter, connected_components, in_filter, saved
 
 #: N-grams of a column block, about.
 BLOCK = 3_000_000
-#: Documents of a tile, and columns multiplied at a time.
-TILE, COLUMNS = 512, 4096
+#: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
+TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 4096
 #: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
 CELLS, SHARD = 1 << 18, 16_384
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -293,13 +293,13 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int
 
 def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): spanning forests of the links within candidate groups (node, label)."""
-    rows = sets.join(groups.select(F.col("node").alias("doc_id"), "label"), "doc_id")
-    tiles = rows.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(tiles, "label").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    # A tile meets itself and every other once.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    rows = rows.select("label", "i", "j", "tile", "doc_id", "set")
+    sized = groups.join(sets.select(F.col("doc_id").alias("node"), "size"), "node")
+    counts = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
+    dealt = groups.join(counts, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # A tile meets itself and every other once. Only ids are dealt by label; the sets join by id.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(F.col("node").alias("doc_id"), "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    rows = sets.join(dealt, "doc_id").select("label", "i", "j", "tile", "doc_id", "set")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         a, b = tile_links(group["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], group["tile"].to_numpy(), p, q)

@@ -71,6 +71,7 @@ def test_against_all_pairs(spark, monkeypatch, seed):
     rows = list(enumerate(texts, 5))
     monkeypatch.setattr(jaccard, "BLOCK", 2000)
     monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "TILE_GRAMS", 500)
     monkeypatch.setattr(jaccard, "COLUMNS", 64)
     monkeypatch.setattr(jaccard, "SHARD", 50)
     assert run(spark, rows) == plain(rows)
