@@ -33,12 +33,14 @@ def saved(df: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node it reaches.
 
-    Alternating large and small stars: each round is two aggregations with map-side minimums and two
-    equi-joins, and the number of rounds grows with the logarithm of a component's size.
+    Alternating large and small stars until every node but the smallest of each component has one edge, to that one:
+    each round is two aggregations with map-side minimums and two equi-joins, and the number of rounds grows with the
+    logarithm of a component's size.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(max_rounds):
+        if is_star_forest(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -47,14 +49,16 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = saved(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("connected components did not settle")
-    roots = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether each a of the distinct edges (a, b) has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("b", F.lit(0).alias("up"), F.lit(1).alias("down")).toDF("node", "up", "down"))
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0] == 0
 
 
 def filter_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
