@@ -44,11 +44,11 @@ def global_stats(requests: DataFrame) -> DataFrame:
     )
 
 
-def expired_users(requests: DataFrame, now: Column, days: int = Settings.session_days) -> DataFrame:
+def expired_users(requests: DataFrame, now: Column, days: float = Settings.session_days) -> DataFrame:
     """Users whose last request lies more than `days` before now."""
-    return requests.groupBy("user_id").agg(F.max("ts").alias("last_request")).where(F.unix_micros("last_request") < F.unix_micros(now) - days * 24 * HOUR)
+    return requests.groupBy("user_id").agg(F.max("ts").alias("last_request")).where(F.unix_micros("last_request") < F.unix_micros(now) - int(days * 24 * HOUR))
 
 
-def evict(requests: DataFrame, now: Column, days: int = Settings.session_days) -> DataFrame:
+def evict(requests: DataFrame, now: Column, days: float = Settings.session_days) -> DataFrame:
     """The requests of users that have not expired."""
     return requests.join(expired_users(requests, now, days).select("user_id"), "user_id", "left_anti")

@@ -57,24 +57,21 @@ def everyone(spark, sf_dir):
 
 
 
-@query(
-    "ttl_eviction",
-    f"{R}, u AS (SELECT user_id, max({US}) AS last FROM req WHERE event_id % 7 = user_id % 7 GROUP BY 1) SELECT user_id, last AS last_request FROM u WHERE last < (SELECT epoch_us(max(ts)) FROM req) - 7 * 86400000000",
-)
+#: The driver's users are all active within a week of the end, so the registered queries expire them after half a day.
+DAYS = 0.5
+CUT = f"(SELECT epoch_us(max(ts)) FROM req) - {int(DAYS * 86_400_000_000)}"
+
+
+@query("ttl_eviction", f"{R}, u AS (SELECT user_id, max({US}) AS last_request FROM req GROUP BY 1) SELECT * FROM u WHERE last_request < {CUT}")
 def eviction(spark, sf_dir):
     r = fx.requests(spark, sf_dir)
-    now = F.lit(r.agg(F.max("ts")).first()[0])
-    return se.expired_users(r.where("event_id % 7 = user_id % 7"), now).withColumn("last_request", F.unix_micros("last_request"))
+    return se.expired_users(r, r.agg(F.max("ts")).scalar(), DAYS).withColumn("last_request", F.unix_micros("last_request"))
 
 
-@query(
-    "kept_sessions",
-    f"{R}, s AS (SELECT * FROM req WHERE event_id % 7 = user_id % 7), u AS (SELECT user_id FROM s GROUP BY 1 HAVING max({US}) < (SELECT epoch_us(max(ts)) FROM req) - 7 * 86400000000) SELECT event_id, user_id FROM s WHERE user_id NOT IN (SELECT user_id FROM u)",
-)
+@query("kept_sessions", f"{R}, u AS (SELECT user_id FROM req GROUP BY 1 HAVING max({US}) < {CUT}) SELECT event_id, user_id FROM req WHERE user_id NOT IN (SELECT user_id FROM u)")
 def kept_sessions(spark, sf_dir):
     r = fx.requests(spark, sf_dir)
-    now = F.lit(r.agg(F.max("ts")).first()[0])
-    return se.evict(r.where("event_id % 7 = user_id % 7"), now).select("event_id", "user_id")
+    return se.evict(r, r.agg(F.max("ts")).scalar(), DAYS).select("event_id", "user_id")
 
 
 @query(

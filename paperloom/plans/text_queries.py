@@ -105,7 +105,7 @@ def embed_metrics(spark, sf_dir):
 HEADING_CASE = "CASE lower(trim(head)) " + " ".join(f"WHEN '{n}' THEN '{s}'" for s, names in HEADINGS.items() for n in names) + " END"
 MAJORS = ", ".join(f"'{m}'" for m in MAJOR_HEADINGS)
 DIVS_SQL = """d AS (SELECT source AS paper_id, doc_id AS div_pos, ['Introduction', 'Methods', 'Image analysis', 'Results', 'A finding', 'Discussion', 'Conclusions', NULL, 'Background'][CAST((doc_id // 20) % 9 AS INT) + 1] AS head,
-  CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 40) END AS body FROM documents)"""
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS body FROM documents)"""
 
 
 @query("heading_lookup", f"WITH {DIVS_SQL} SELECT DISTINCT head, {HEADING_CASE} AS section FROM d")
@@ -147,12 +147,16 @@ def xml_escape(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", F.sha2(escape_xml(F.col("html")), 256).alias("escaped"))
 
 
+HALF_UP = "floor({0} * 10 + 0.5) / 10"
+
+
 @query(
     "format_size",
-    """SELECT doc_id, CASE WHEN n_chars * 97 < 1024 THEN printf('%d B', n_chars * 97) WHEN n_chars * 97 < 1048576 THEN printf('%.1f KB', n_chars * 97 / 1024::DOUBLE) ELSE printf('%.1f MB', n_chars * 97 / 1048576::DOUBLE) END AS size FROM documents WHERE n_chars % 5 <> 0""",
+    f"""SELECT doc_id, CASE WHEN n_chars * 97 < 1024 THEN printf('%d B', n_chars * 97) WHEN n_chars * 97 < 1048576 THEN printf('%.1f KB', {HALF_UP.format("(n_chars * 97 / 1024::DOUBLE)")})
+    ELSE printf('%.1f MB', {HALF_UP.format("(n_chars * 97 / 1048576::DOUBLE)")}) END AS size FROM documents""",
 )
 def sizes(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").where("n_chars % 5 <> 0").select("doc_id", format_size(F.col("n_chars") * 97).alias("size"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", format_size(F.col("n_chars") * 97).alias("size"))
 
 
 @query("safe_names", "SELECT page_id, substr(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 100) AS name FROM pages")
@@ -166,23 +170,23 @@ def upload_guard(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", tei.upload_check(name, F.col("page_id") * 100000)["message"].alias("message"))
 
 
-@query("keyword_prompts", f"SELECT count(*) AS n, count(DISTINCT substr(text, 1, 50)) * {len(ENTITY_TYPES)} AS prompts FROM documents, range({len(ENTITY_TYPES)})")
+@query(
+    "keyword_prompts",
+    f"""WITH p AS (SELECT substr(array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''), 1, 500), ' '), 1, 500) AS intro FROM documents)
+    SELECT count(*) * {len(ENTITY_TYPES)} AS n, count(DISTINCT intro) * {len(ENTITY_TYPES)} AS prompts FROM p""",
+)
 def keyword_prompts(spark, sf_dir):
-    papers = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("A title").alias("title"), F.lit("").alias("abstract"), F.regexp_replace(F.substring("text", 1, 50), r"\s", "_").alias("introduction"))
+    papers = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("A title").alias("title"), F.lit("").alias("abstract"), F.col("text").alias("introduction"))
     return kw.prompts(papers).agg(F.count("*").alias("n"), F.countDistinct("prompt_key").alias("prompts"))
 
 
-# Answers made of documents: some malformed, some with elements of other types.
-ANSWER = """CASE doc_id % 5 WHEN 0 THEN 'no array' WHEN 1 THEN '[' || to_json(substr(text, 1, 12)) || ', " x ", 3, "", "a b c d e f"]' WHEN 2 THEN '["broken' WHEN 3 THEN 'Sure: ["one two", "one two"] ok' ELSE '{"a": ["in"]}' END"""
-
-
 @query(
     "parse_keywords",
-    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 1 + CASE WHEN trim(substr(text, 1, 12)) <> '' AND len(list_filter(regexp_split_to_array(trim(substr(text, 1, 12)), '\\s+'), lambda w: w <> '')) <= 5 THEN 1 ELSE 0 END
+    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 1 + CASE WHEN trim(text) <> '' AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) <= 5 THEN 1 ELSE 0 END
       WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END::BIGINT AS n FROM documents""",
 )
 def parse_keywords(spark, sf_dir):
-    made = F.to_json(F.array(F.substring("text", 1, 12)))
+    made = F.to_json(F.array("text"))
     k = F.col("doc_id") % 5
     answer = (
         F.when(k == 0, F.lit("no array"))
