@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows of which a function sees the Python objects at once.
+SLICE = 1024
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,11 +28,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch | dict]], schema: T.StructType) -> DataFrame:
-    """mapInArrow whose function may yield dicts of columns."""
+    """mapInArrow whose function sees slices of batches and may yield dicts of columns."""
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
+        for out in fn(b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             yield as_batch(out, target)
 
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, ids array<int>, decoded string"
 #: Words of up to this many bytes share a matrix of trees.
 SHORT = 64
 #: Words kept by a Python worker; the cache only saves time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 NONE = np.int64(1) << 62
 POS_BITS = 32
 #: Fixed value: how the byte-level scheme splits a text into words.

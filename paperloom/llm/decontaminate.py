@@ -35,7 +35,7 @@ from .shared import bloom_filter, in_filter
 WINDOW, PLAIN_WORDS = 8, 4
 SPACE = " \t\n\r\x0b\x0c"
 #: Words whose canonical forms a Python worker keeps; the cache only saves time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?$")
 # Units of measure.
 UNITS = frozenset("""mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years
