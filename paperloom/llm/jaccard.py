@@ -261,10 +261,12 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     h = np.concatenate(sets)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
-    column = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+    del order
+    column = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]), dtype=np.int32)
+    del h
     held = np.bincount(column)[column] > 1  # a column with one row adds to no pair
     row, column = row[held], column[held]
     first = tile == tile.min()
@@ -275,7 +277,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int
     place[left] = np.arange(len(left))
     overlap = np.zeros((len(left), len(right)), np.float32)
     if len(row):
-        column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]))
+        column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]), dtype=np.int32)
         starts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
         for a, b in zip(starts, [*starts[1:], len(column)]):
             rows, at = np.unique(row[a:b], return_inverse=True)
