@@ -6,14 +6,15 @@ the words around it, so windows with names also stand in a second form without.
 words of the documents are hash-joined with those of the benchmark; shorter items are one window of their
 own length. A joined pair of windows must be consistent: within a document and item, each slot value of
 the item stands for one value of the document and the reverse, so re-parameterised questions match and
-chance tables of numbers do not. A document is contaminated by an item if consistent windows cover at
-least `share` of the item's windows.
+chance tables of numbers do not. Windows of fewer than PLAIN_WORDS plain words say too little as templates:
+they are joined by their literal words, values included. A document is contaminated by an item if consistent
+windows cover at least `share` of the item's template windows, or of all its windows.
 
 A Bloom filter of the benchmark's windows, of fixed size, is broadcast so that only windows
 likely to join leave the scan; the join itself is exact on 64-bit hashes, then on the template's words.
 
-Defined results: null text counts as empty and matches nothing; windows without PLAIN_WORDS plain words
-match nothing, so items made of placeholders alone are not searched for; rows with the same id are judged
+Defined results: null text counts as empty and matches nothing; items made of numbers and units alone, without
+one other word, are not searched for; rows with the same id are judged
 each by its own text, and the id is contaminated if one is; an empty benchmark keeps every document; extra columns
 pass through `drop_contaminated`.
 """
@@ -46,6 +47,7 @@ PLAIN, NUM, UNIT, NAME = 0, 1, 2, 3
 SLOT_NAMES = ("", "<number>", "<unit>", "<name>")
 SLOT_HASH = np.array([0, *(xxhash.xxh3_64_intdigest(s) for s in SLOT_NAMES[1:])], np.uint64)
 P = np.uint64(0x9E3779B97F4A7C15)
+LITERAL = np.uint64(1 << 32)  # tells the hashes of literal windows from those of templates
 
 
 class Words(dict):
@@ -64,8 +66,8 @@ class Words(dict):
         return self[word]
 
 
-def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts, where each text's words begin, and each word's template hash, kind, and hash if it is no name."""
+def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts, where each text's words begin, and each word's template hash, kind, hash if it is no name, and literal hash."""
     if len(cache.rows) > CACHE_WORDS:
         cache.clear()
         cache.rows = []
@@ -83,8 +85,24 @@ def canonical(texts: list[str], cache: Words) -> tuple[list[str], np.ndarray, np
         inside[starts[:-1][starts[:-1] < len(words)]] = False
         plain = np.where(kind == PLAIN, hashes, SLOT_HASH[kind])
         kind = np.where(capital & inside & (kind == PLAIN), NAME, kind)
-        return words, starts, np.where(kind == NAME, SLOT_HASH[NAME], plain), kind, plain
-    return words, starts, hashes, kind, hashes
+        return words, starts, np.where(kind == NAME, SLOT_HASH[NAME], plain), kind, plain, hashes
+    return words, starts, hashes, kind, hashes, hashes
+
+
+def literal_windows(hashes: np.ndarray, unnamed: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and literal hashes of the windows of `size` words within the texts that have too few plain words, names counted as plain."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    plain = np.concatenate([[0], np.cumsum(unnamed == PLAIN)])
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at = np.nonzero((plain[size:] - plain[:n] < min(PLAIN_WORDS, size)) & (text[:n] == text[size - 1 :]))[0]
+    with np.errstate(over="ignore"):
+        h = np.full(len(at), LITERAL + np.uint64(size), np.uint64)
+        for k in range(size):
+            h = h * P + hashes[at + k]
+            h ^= h >> np.uint64(29)
+    return at, h
 
 
 def windows(hashes: np.ndarray, kind: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +123,29 @@ def windows(hashes: np.ndarray, kind: np.ndarray, starts: np.ndarray, size: int)
 
 
 def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame:
-    """(id, pos, size, h, slots) of the windows of (doc_id, text); sizes None: WINDOW, or a short text's own length."""
+    """(id, pos, size, h, literal, slots) of the windows of (doc_id, text); sizes None: of items, WINDOW or a short text's own length."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         cache = Words()
         bits = None if bloom is None else bloom.value
         for batch in batches:
             for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, starts, hashes, kind, plain = canonical(texts, cache)
-                out = {"id": [], "pos": [], "size": [], "h": [], "slots": []}
+                words, starts, hashes, kind, plain, literal = canonical(texts, cache)
+                out = {"id": [], "pos": [], "size": [], "h": [], "literal": [], "slots": []}
                 lengths = np.diff(starts)
                 unnamed = np.where(kind == NAME, PLAIN, kind)
                 named = np.concatenate([[0], np.cumsum(kind == NAME)])
+                wordy = np.concatenate([[0], np.cumsum(unnamed == PLAIN)])
+                wordy = wordy[starts[1:]] > wordy[starts[:-1]]
                 for size in sizes if sizes is not None else sorted({WINDOW, *(int(x) for x in lengths if 0 < x < WINDOW)}):
-                    for forms, kinds in ((hashes, kind), (plain, unnamed)):
-                        at, h = windows(forms, kinds, starts, size)
-                        keep = np.ones(len(at), bool) if forms is hashes else named[at + size] > named[at]  # the second form only where it differs
+                    for forms, kinds in ((hashes, kind), (plain, unnamed), (literal, None)):
+                        at, h = windows(forms, kinds, starts, size) if kinds is not None else literal_windows(forms, unnamed, starts, size)
+                        keep = np.ones(len(at), bool) if kinds is not unnamed else named[at + size] > named[at]  # the second form only where it differs
                         text = np.searchsorted(starts, at, side="right") - 1
                         if sizes is None and size < WINDOW:
                             keep &= lengths[text] == size
+                        if sizes is None and kinds is None:
+                            keep &= wordy[text]
                         if bits is not None:
                             keep &= in_filter(bits, h)
                         at, h, text = at[keep], h[keep], text[keep]
@@ -131,29 +153,35 @@ def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame
                         out["pos"] += (at - starts[text]).tolist()
                         out["size"] += [size] * len(at)
                         out["h"] += h.view(np.int64).tolist()
-                        out["slots"] += [[words[k].strip(".,;:!?").lower() for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
+                        out["literal"] += [kinds is None] * len(at)
+                        out["slots"] += [[] if kinds is None else [words[k].strip(".,;:!?").lower() for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
                 yield out
 
-    return map_arrow(df, run, struct("id long, pos int, size int, h long, slots array<string>"))
+    return map_arrow(df, run, struct("id long, pos int, size int, h long, literal boolean, slots array<string>"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, covered) of each document and item with enough consistent windows."""
-    items = window_rows(id_and_text(benchmark, item_col, item_text_col).where("doc_id is not null"), None).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
+    items = window_rows(id_and_text(benchmark, item_col, item_text_col).where("doc_id is not null"), None).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", "literal", F.col("slots").alias("item_slots"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_template"))
     sizes = sorted({r["size"] for r in items.select("size").distinct().collect()})  # at most WINDOW values
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(items))
     found = window_rows(id_and_text(docs, id_col, text_col).where("doc_id is not null"), sizes, bloom)
-    pairs = found.join(items, ["h", "size"]).where(F.size("slots") == F.size("item_slots"))
+    pairs = found.join(items, ["h", "size", "literal"]).where(F.size("slots") == F.size("item_slots"))
     # A slot value of the item and the document's in its place, once for each document, item and place of the item.
     shift = F.col("pos") - F.col("item_pos")
     runs = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", shift.alias("shift")).agg(
         F.collect_set("item_pos").alias("places"),
+        F.collect_set(F.when(~F.col("literal"), F.col("item_pos"))).alias("template_places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("slots"),
     )
     one_to_one = (F.size("slots") == F.size(F.array_distinct(F.col("slots.i")))) & (F.size("slots") == F.size(F.array_distinct(F.col("slots.d"))))
-    covered = runs.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("covered"))
-    return covered.join(totals, "item_id").where(F.col("covered") >= F.lit(share) * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "covered")
+    distinct_places = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
+    covered = runs.where(one_to_one).groupBy("doc_id", "item_id").agg(distinct_places("places").alias("all"), distinct_places("template_places").alias("template"))
+    # Other values leave only the templates; a copy of a text with few of them shows in all windows.
+    by_template = (F.col("n_template") > 0) & (F.col("template") >= F.lit(share) * F.col("n_template"))
+    judged = covered.join(totals, "item_id").where(by_template | (F.col("all") >= F.lit(share) * F.col("n_all")))
+    return judged.select("doc_id", "item_id", F.when(by_template, F.col("n_template")).otherwise(F.col("n_all")).alias("n_windows"), F.when(by_template, F.col("template")).otherwise(F.col("all")).alias("covered"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -74,3 +74,22 @@ def test_query_against_plain_containment(spark):
     touched = {(i, k) for i, t in docs.items() for k, g in grams.items() if {tuple(w[a : a + 6]) for w in [t.split()] for a in range(len(w) - 5)} & g}
     got = {(r.doc_id, r.item_id) for r in entry.op4_decontaminate(spark, folder).collect()}
     assert whole <= got <= touched and whole
+
+
+def test_items_with_few_plain_words_are_found_by_their_literal_words(spark):
+    items = [
+        (1, "5 km 10 km 15 km 20 km gives 25 km 30 km 35 km 40 km"),
+        (2, "12 + 30 = 42"),
+        (3, "7 kg 8 kg 9 kg"),
+        (4, "Add the weights of the boxes below: 1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg 10 kg 11 kg 12 kg total 78 kg"),
+    ]
+    docs = [
+        (10, f"{PAD} {items[0][1]} {PAD}"),
+        (11, f"{PAD} {items[0][1].replace('15', '16').replace('30', '31')} {PAD}"),
+        (12, f"{PAD} 12 + 30 = 42. {PAD}"),
+        (13, f"{PAD} 12 + 30 = 43. {PAD}"),
+        (14, f"{PAD} {items[3][1]} {PAD}"),
+        (15, f"{PAD} {items[3][1][items[3][1].index('1 kg'):]} {PAD}"),
+        (16, " ".join(str(k) for k in range(400))),
+    ]
+    assert found(spark, docs, items) == {(10, 1), (12, 2), (14, 4), (15, 4)}
