@@ -88,6 +88,15 @@ def top_rows(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return order[np.arange(len(q)) - first < k]
 
 
+def best_of_each(query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Positions of the best score of each query and id."""
+    order = np.lexsort((-scores, ids, query))
+    q, i = query[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+    return order[new]
+
+
 def slack(used: int, dim: int, z: float) -> float:
     """How far beyond the bound an estimate from `used` of `dim` rotated dimensions may lie before its candidate is abandoned.
 
@@ -97,7 +106,7 @@ def slack(used: int, dim: int, z: float) -> float:
 
 
 def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float, step: int = 1024):
-    """(query index, candidate id, score) of each query's k best candidates that pass the tests.
+    """(query index, candidate id, score) of each query's k best ids that pass the tests, each with its best score.
 
     bounds: for each query a score that its k-th best neighbour reaches at least. The column blocks end at
     a half, three quarters and all of the dimensions; the first is one matrix product for all pairs.
@@ -133,6 +142,8 @@ def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float,
         scores = (queries[qi] * cands[ci]).sum(1)
         keep = scores >= bounds[qi]
         merged = [np.concatenate(x) for x in zip(best, (qi[keep], c_ids[ci[keep]], scores[keep]))]
+        once = best_of_each(*merged)
+        merged = [x[once] for x in merged]
         top = top_rows(*merged, k)
         best = tuple(x[top] for x in merged)
         n = np.bincount(best[0], minlength=len(queries))
@@ -155,7 +166,7 @@ def nearest_neighbours(
     if not sample_rows:
         return empty
     dim = Counter(len(r.v) for r in sample_rows).most_common(1)[0][0]
-    sample_rows = [r for r in sample_rows if len(r.v) == dim]
+    sample_rows = list({r.vec_id: r for r in sample_rows if len(r.v) == dim}.values())  # an id once: repeats are no neighbours, and make no bound
     sample_ids, sample = np.array([r.vec_id for r in sample_rows]), np.array([r.v for r in sample_rows])
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     total = base.count()
@@ -172,9 +183,12 @@ def nearest_neighbours(
             yield {"vec_id": ids, "v": batch.column(1), "list": nearest(vectors, fitted.value[0]).astype(np.int32)}
 
     index = map_arrow(base, assign, struct("vec_id long, v array<double>, list int"))
-    sizes = np.zeros(len(centres), np.int64)
-    for r in index.groupBy("list").count().collect():  # one row for each list
-        sizes[r["list"]] = r["count"]
+    # An id counts once, in the first of its lists, towards the ids that a query reaches.
+    sizes, ids_of = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+    held = index.groupBy("vec_id", "list").count().groupBy("vec_id").agg(F.min("list").alias("home"), F.collect_list(F.struct("list", "count")).alias("own"))
+    held = held.select("home", F.inline("own")).groupBy("list").agg(F.sum("count").alias("n"), F.sum((F.col("list") == F.col("home")).cast("long")).alias("ids"))
+    for r in held.collect():  # one row for each list
+        sizes[r["list"]], ids_of[r["list"]] = r["n"], r["ids"]
     probes = calibrated_probes(sample, centres, k, target_recall)
 
     def seeds(own_ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +224,7 @@ def nearest_neighbours(
                 np.minimum.at(lowest := np.full(len(own), np.inf), si, scores)
                 bound[full] = lowest[full]
                 order = np.argsort(-(own @ centres.T), axis=1, kind="stable")
-                reached = np.cumsum(sizes[order], axis=1) - sizes[order]
+                reached = np.cumsum(ids_of[order], axis=1) - ids_of[order]
                 rank = np.arange(order.shape[1])[None]
                 qi, at = np.nonzero((rank < probes) | (reached <= 2 * k))
                 lists = order[qi, at]

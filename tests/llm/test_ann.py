@@ -82,3 +82,16 @@ def test_query(spark):
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     hits = sum(s >= want[q][-1][1] - 1e-9 for q, v in got.items() for _, s in v)
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+@pytest.mark.parametrize("fit_rows", [16384, 64])
+def test_repeated_ids_take_no_place_of_others(spark, fit_rows):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((60, 8)).tolist()
+    rows = [(k, v) for k, v in enumerate(base) for _ in range(30)]
+    asked = set(range(10))
+    got = run(spark, rows, asked, k=20, fit_rows=fit_rows)
+    assert all(len({i for i, _ in v}) == len(v) == 20 for v in got.values())
+    want = exact(list(enumerate(base)), asked, 20)
+    hits = sum(i in {j for j, _ in want[q]} for q, v in got.items() for i, _ in v)
+    assert set(got) == asked and hits / (20 * len(asked)) >= 0.9
