@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A cheap test that any match must pass.
-HINTS = {"email": r"@[A-Za-z0-9]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 #: Code points on either side of an entity whose words count as near it, and the shortest word that counts.
 NEAR, LEAST_LETTERS = 80, 4

@@ -78,3 +78,10 @@ def test_query_keeps_all_base_spans(spark, sf):
         want = plain(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [got[r.doc_id][f"n_{k}"] for k in BASE] == [sum(w[0] == k for w in want) for k in BASE]
+
+
+def test_address_with_a_hyphen_after_the_at_sign(spark):
+    text = "x@-y.com"
+    assert plain(text) == [("email", 0, 8)]
+    (row,) = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.kind, s.start, s.end) for s in row.spans] == plain(text) and row.sanitized == "[EMAIL]"
