@@ -47,9 +47,19 @@ PLAIN, NUM, UNIT, NAME = 0, 1, 2, 3
 SLOT_NAMES = ("", "<number>", "<unit>", "<name>")
 SLOT_HASH = np.array([0, *(xxhash.xxh3_64_intdigest(s) for s in SLOT_NAMES[1:])], np.uint64)
 P = np.uint64(0x9E3779B97F4A7C15)
+#: What may stand around a word, without the signs that belong to a value.
+AROUND = "\"'()[]{}<>.,;:!?*|#&`~“”‘’«»¿¡…–—"
 LITERAL = np.uint64(1 << 32)  # tells the hashes of literal windows from those of templates
 
 
+def slot_value(word: str) -> str:
+    """The value of a number or unit without the punctuation, quotes, brackets and Markdown signs around it; currency, percent and minus stay."""
+    core = word.strip(AROUND)
+    if len(core) > 2 and core[0] == core[-1] == "$":
+        core = core[1:-1]
+    return (core.rstrip("-").strip(AROUND) or word).lower()
+
+
 class Words(dict):
     """word -> its row in rows: hash of the plain form, kind, capitalised, ends a sentence."""
 
@@ -58,7 +68,7 @@ class Words(dict):
         self.rows: list[tuple[int, int, bool, bool]] = []
 
     def __missing__(self, word: str) -> int:
-        core = word.strip("\"'()[]{}<>.,;:!?*|#&%$`~“”‘’«»¿¡…-–—") or word
+        core = word.strip(AROUND + "%$-") or word
         low = core.lower()
         kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else PLAIN
         self.rows.append((xxhash.xxh3_64_intdigest(low), kind, core[:1].isupper() and not (len(core) > 1 and core.isupper()), word[-1] in ".!?:|\"”"))
@@ -154,7 +164,7 @@ def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame
                         out["size"] += [size] * len(at)
                         out["h"] += h.view(np.int64).tolist()
                         out["literal"] += [kinds is None] * len(at)
-                        out["slots"] += [[] if kinds is None else [words[k].strip(".,;:!?").lower() for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
+                        out["slots"] += [[] if kinds is None else [slot_value(words[k]) for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
                 yield out
 
     return map_arrow(df, run, struct("id long, pos int, size int, h long, literal boolean, slots array<string>"))

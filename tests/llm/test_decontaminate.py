@@ -93,3 +93,10 @@ def test_items_with_few_plain_words_are_found_by_their_literal_words(spark):
         (16, " ".join(str(k) for k in range(400))),
     ]
     assert found(spark, docs, items) == {(10, 1), (12, 2), (14, 4), (15, 4)}
+
+
+def test_marks_around_a_slot_value_do_not_change_it(spark):
+    item = [(1, "first there were 5 of the green ones then 5 of the blue ones and 7% of the red ones and 7 more")]
+    docs = [(k, item[0][1].replace("then 5", f"then {v}")) for k, v in enumerate(["(5)", '"5"', "**5**", "“5”,", "$5$", "(6)"])]
+    docs.append((10, item[0][1].replace("7%", "9%").replace("7 more", "4 more")))
+    assert found(spark, docs, item) == {(k, 1) for k in (0, 1, 2, 3, 4, 10)}
