@@ -3,10 +3,12 @@
 Stages: explode the lines of every document into 128-bit hashes of their keys (one row for each key and
 document), count documents by hash with map-side aggregation, join the shared hashes back to the lines
 they drop, and reassemble each document by position without them. A very common line is summed before
-the shuffle; the join back is an equi-join that adaptive execution can split.
+the shuffle, by hash and a salt of the document; its holders then join by both, so that they are dealt
+to all tasks.
 
 Defined results: null text counts as empty, an empty text has one empty line; rows with the same id are
-one document; rows without an id keep all lines and count for no hash; an empty table gives an empty
+one document; rows without an id keep all lines and count for no hash; a text of any length is split
+whole, and its hashes of dropped lines are the only group made of it; an empty table gives an empty
 result. Other columns pass through `dedup_lines` untouched, whatever their names.
 """
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_io import id_and_text, map_arrow, struct
+from .shared import held_by_several, over_salts, salted
 
 #: Fixed value: the white space that a key loses at both ends.
 SPACE = " \t\n\x0b\x0c\r"
@@ -51,12 +54,11 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
-    """(h1, h2, keeper) of the hashes that at least min_docs documents hold; keeper is the smallest id."""
+    """(h1, h2, _salt, keeper) of the hashes that at least min_docs documents hold, for each salt; keeper is the smallest id."""
     if min_docs == 2:
-        seen = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-        return seen.where("keeper < last").drop("last")
-    seen = keys.distinct().groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n"))
-    return seen.where(F.col("n") >= min_docs).drop("n")
+        return held_by_several(keys, ["h1", "h2"], "doc_id").withColumnRenamed("first", "keeper")
+    parts = keys.distinct().groupBy("h1", "h2", "_salt").agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n"))  # all rows of a document have one salt
+    return over_salts(parts, ["h1", "h2"], keeper=F.min("_low"), _docs=F.sum("_n")).where(F.col("_docs") >= min_docs).select("h1", "h2", "_salt", "keeper")
 
 
 def dedup_lines(
@@ -64,9 +66,9 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows of df with text_col deduplicated, and the two columns that counts names, which replace any of that name."""
     df = df.drop(*(counts or ()))
-    keys = hashed_lines(id_and_text(df, id_col, text_col), min_chars)
+    keys = salted(hashed_lines(id_and_text(df, id_col, text_col), min_chars), "doc_id")
     drops = (
-        keys.join(shared_lines(keys, min_docs), ["h1", "h2"])
+        keys.join(shared_lines(keys, min_docs), ["h1", "h2", "_salt"])
         .where("doc_id > keeper")
         .groupBy(F.col("doc_id").alias("_drop_id"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))

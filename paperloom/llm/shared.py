@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_io import map_arrow, struct
@@ -17,38 +19,108 @@ FILTER_BITS = 1 << 24
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
+
+    A session on one machine that names none, as in tests, gets a folder of its own there; on a cluster every executor
+    would write to its own disk, so there the folder must be named.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="paperloom-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, found = file_system(spark, path)
+    files.delete(found, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes path when the session's process ends, also after an error."""
+    files, found = file_system(spark, path)
+    files.deleteOnExit(found)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there: later actions neither repeat it nor depend on executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the shared folder and read from there: later actions neither repeat it nor depend on executors.
+
+    The table goes with discard(), or when the session's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing will read again."""
+    for table in tables:
+        delete(table.sparkSession, _PATHS.pop(table))
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """rows with _salt, made of the column by: as many values as the session has shuffle partitions, so that a hot key is dealt to all of them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+
+
+def over_salts(parts: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """parts, one row for each key and salt, with aggregates over all salts of the key."""
+    whole = Window.partitionBy(*keys)
+    return parts.select("*", *(c.over(whole).alias(k) for k, c in columns.items()))
+
+
+def held_by_several(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(keys, _salt, first) of salted rows: the smallest `by` of each key that has more than one, for each salt of the key.
+
+    Rows join it on keys and _salt, so that no task meets all rows of a hot key.
+    """
+    parts = rows.groupBy(*keys, "_salt").agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    return over_salts(parts, keys, first=F.min("_low"), _last=F.max("_high")).where("first < _last").select(*keys, "_salt", "first")
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m) of edges (a, b): m is the smallest b of each a."""
+    own = salted(edges.select("a", "b"), "b")
+    least = over_salts(own.groupBy("a", "_salt").agg(F.min("b").alias("_low")), ["a"], m=F.min("_low")).select("a", "_salt", "m")
+    return own.join(least, ["a", "_salt"]).select("a", "b", "m")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node it reaches.
 
     Alternating large and small stars until every node but the smallest of each component has one edge, to that one:
-    each round is two aggregations with map-side minimums and two equi-joins, and the number of rounds grows with the
-    logarithm of a component's size.
+    each round is aggregations with map-side minimums and equi-joins, salted since one node may have most of the edges,
+    and the number of rounds grows with the logarithm of a component's size.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if is_star_forest(edges):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
         # Every node now points downwards; its other lower neighbours and itself move to the lowest.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = saved(small.where("a <> b").distinct())
+        low = with_least(large)
+        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        before, edges = edges, saved(small.where("a <> b").distinct())
+        discard(before)
     else:
         raise RuntimeError("connected components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
