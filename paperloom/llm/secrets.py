@@ -3,16 +3,19 @@
 The value that follows a credential word is cut into the cheapest sequence of spans: listed words,
 dates, repeats, keyboard or alphabet walks, and brute force for the rest. The cost of a span is the
 binary logarithm of the guesses an informed attacker needs; a value whose cheapest segmentation still
-costs `min_bits` is a secret.
+costs `min_bits` is a secret. The minimum is exact: any part of a walk or repeat is a span of its own, and its
+length costs whole bits, so that the cheapest start among all of them is a sliding minimum for each bit.
 
 Defined results: null text counts as empty; the spans of a kind never overlap; a value of any length is
-costed whole in linear time; repeated rows give repeated results; other columns are ignored.
+costed whole, in time that grows with its length times the bits of that length; repeated rows give repeated
+results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +47,10 @@ LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("4@310$57", "aaeiosst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row in ROWS for a, b in zip(row, row[1:])}
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+YEAR, MONTH, DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+DATES = tuple(re.compile(p, re.A) for p in (f"{YEAR}[-/.]?{MONTH}[-/.]?{DAY}", f"{DAY}[-/.]?{MONTH}[-/.]?{YEAR}", YEAR))
+#: Bits of a walk, a repeat of one character and one of two to four, besides those of its length; and the least lengths.
+WALK_BITS, SAME_BITS, UNIT_BITS, LEAST_RUN = 6.0, 5.0, 10.0, 3
 #: Guesses for any day of two centuries, and bits for opening another span.
 DATE_BITS, SPAN_BITS = math.log2(365 * 200), 1.0
 
@@ -54,51 +60,70 @@ def char_bits(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
 
 
-def runs(value: str) -> tuple[list[int], list[int], list[int]]:
-    """For each end: where the walk and the repeats (of 1 and of 2 to 4 characters) that reach it begin."""
-    low, n = value.lower(), len(value)
-    walk, same, unit = [*range(n)], [*range(n)], [*range(n)]
-    for j in range(1, n):
-        if low[j - 1 : j + 1] in NEXT:
-            walk[j] = walk[j - 1]
-        if value[j] == value[j - 1]:
-            same[j] = same[j - 1]
-    for size in (2, 3, 4):
-        start = None
-        for j in range(size, n):
-            if value[j] == value[j - size]:
-                start = j - size if start is None else start
-                if j - start + 1 >= 2 * size:
-                    unit[j] = min(unit[j], start)
-            else:
-                start = None
-    return walk, same, unit
+class Pattern:
+    """Spans whose every part of at least `least` characters is one too: a walk, or a repeat of `step` characters."""
+
+    def __init__(self, least: int, bits: float):
+        self.least, self.bits, self.first = least, bits, 0
+        self.windows: list[deque[int]] = []  # for each bit of a length: starts of spans that long at most, their costs rising
+
+    def begin(self, first: int) -> None:
+        """The run that reaches the next character begins at `first`."""
+        if first != self.first:
+            self.first, self.windows = first, []
+
+    def cost(self, end: int, best: list[float]) -> float:
+        """Of the cheapest cut before `end` whose last span is of this pattern; called for every end of a run in turn."""
+        start = end - self.least
+        if start < self.first:
+            return math.inf
+        longest = (end - self.first).bit_length()
+        while len(self.windows) < longest:
+            self.windows.append(deque(self.windows[-1] if self.windows else ()))
+        cost = math.inf
+        for bits, window in enumerate(self.windows):  # lengths below 2 ** (bits + 1)
+            while window and best[window[-1]] >= best[start]:
+                window.pop()
+            window.append(start)
+            while window and end - window[0] >= 2 << bits:
+                window.popleft()
+            if window:
+                cost = min(cost, best[window[0]] + bits)
+        return cost + SPAN_BITS + self.bits
 
 
 def guess_bits(value: str) -> float:
     """log2 of the guesses for the cheapest segmentation of value."""
-    n = len(value)
-    plain, walk_unit = value.lower().translate(LEET), runs(value)
-    walk, same, unit = walk_unit
+    n, low = len(value), value.lower()
+    plain = low.translate(LEET)
     dates: dict[int, list[int]] = {}
     for k in range(n):
-        if value[k].isdigit() and (m := DATE.match(value, k)):
-            dates.setdefault(m.end(), []).append(k)
+        if value[k].isdigit():
+            for m in (p.match(value, k) for p in DATES):
+                if m:
+                    dates.setdefault(m.end(), []).append(k)
+    walk, same = Pattern(LEAST_RUN, WALK_BITS), Pattern(LEAST_RUN, SAME_BITS)
+    units = {step: Pattern(2 * step, UNIT_BITS) for step in (2, 3, 4)}
     best = [0.0] + [math.inf] * n  # the cheapest cut of each prefix
-    brute = [0.0] + [math.inf] * n  # ... whose last span is brute force
-    brute[0] = math.inf
+    brute = math.inf  # ... whose last span is brute force
     for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + SPAN_BITS) + char_bits(value[j - 1])
-        cost = brute[j]
+        brute = min(brute, best[j - 1] + SPAN_BITS) + char_bits(value[j - 1])
+        cost = brute
         for i in range(max(0, j - LONGEST), j - 2):
             if (rank := RANK.get(plain[i:j])) is not None:
                 changed = sum(a != b for a, b in zip(value[i:j], plain[i:j]))
                 cost = min(cost, best[i] + SPAN_BITS + math.log2(rank + 1) + changed)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + SPAN_BITS + DATE_BITS)
-        for start, least, base in ((walk[j - 1], 3, 6.0), (same[j - 1], 3, 5.0), (unit[j - 1], 4, 10.0)):
-            if j - start >= least:
-                cost = min(cost, best[start] + SPAN_BITS + base + math.log2(j - start))
+        if j > 1 and low[j - 2 : j] not in NEXT:
+            walk.begin(j - 1)
+        if j > 1 and value[j - 1] != value[j - 2]:
+            same.begin(j - 1)
+        for step, unit in units.items():
+            if j > step and value[j - 1] != value[j - 1 - step]:
+                unit.begin(j - step)
+        for pattern in (walk, same, *units.values()):
+            cost = min(cost, pattern.cost(j, best))
         best[j] = cost
     return best[n]
 
