@@ -7,13 +7,15 @@ placeholder its ordinal, its reference and the tokens it stands for once expande
 A turn becomes  <turn role="ROLE">BODY</turn>NEWLINE.  A backslash escapes itself and stands after the
 `<` of a control string that was part of a text, so the template can be read back exactly.
 
-Conversations are assembled in chunks of CHUNK turn numbers; offsets of the loss mask (the bodies of the
-assistant's turns) are kept within the chunk, so a conversation of any length is formatted, masked and
-read back by many tasks, and only the final digest of a whole conversation needs its text in one row.
+Turns are sorted over all tasks by conversation and turn, and assembled in chunks of at most CHUNK turns;
+offsets of the loss mask (the bodies of the assistant's turns) are kept within the chunk, so a conversation of
+any length, with any turn numbers, is formatted, masked and read back by many tasks, and only the final digest
+of a whole conversation needs its text in one row.
 
 Defined results: null text or parts count as an empty body, a null role as the empty role; equal turn
 numbers are ordered by role, then body; a null turn number comes first; rows with a null conversation id
-form one conversation; repeated rows are repeated turns; other columns are ignored.
+form one conversation; repeated rows are repeated turns; a text of any length is one turn, whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers of a chunk.
+#: Turns of a chunk, at most.
 CHUNK = 64
 CLOSE = "</turn>\n"
+MARK = "<part >"
 #: Expanded tokens of a part. An image has one token for each 28 x 28 patch, audio 25 a second, a document 512 a page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25.0, 512
 PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -62,18 +65,18 @@ def part_tokens(part: Column) -> Column:
 def flatten_parts(df: DataFrame, parts_col: str) -> DataFrame:
     """df with _body and _attachments (array of ordinal, type, ref, tokens) in the order of the parts."""
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>"))
-    media = F.filter(parts, lambda p: ~F.coalesce(p["type"] == "text", F.lit(False)))
+    is_text = lambda p: F.coalesce(p["type"] == "text", F.lit(False))
+    media = F.filter(parts, lambda p: ~is_text(p))
     attachments = F.transform(
         media,
         lambda p, k: F.struct((k + 1).alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
     )
-
-    def visit(p: Column, k: Column) -> Column:
-        before = F.size(F.filter(F.slice(parts, F.lit(1), k + 1), lambda q: ~F.coalesce(q["type"] == "text", F.lit(False))))
-        placeholder = F.concat(F.lit("<part "), escape(F.coalesce(p["type"], F.lit("unknown"))), F.lit(" "), before.cast("string"), F.lit(">"))
-        return F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder)
-
-    return df.withColumn("_body", F.array_join(F.transform(parts, visit), "")).withColumn("_attachments", attachments)
+    placeholders = F.transform(media, lambda p, k: F.concat(F.lit("<part "), escape(F.coalesce(p["type"], F.lit("unknown"))), F.lit(" "), (k + 1).cast("string"), F.lit(">")))
+    # No escaped text holds MARK, so what lies between two marks is text, and the k-th mark is the k-th placeholder.
+    marked = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.lit(MARK))), "")
+    return df.withColumns({"_texts": F.split(marked, MARK, -1), "_placeholders": placeholders, "_attachments": attachments}).withColumn(
+        "_body", F.array_join(F.flatten(F.transform("_texts", lambda t, k: F.array(t, F.coalesce(F.get("_placeholders", k), F.lit(""))))), "")
+    )
 
 
 def format_chunks(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
@@ -87,11 +90,10 @@ def format_chunks(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
         "_parts",
     )
     open_tag = F.concat(F.lit('<turn role="'), F.replace(escape(F.col("_role")), F.lit('">'), F.lit('"\\>')), F.lit('">'))
-    turns = flat.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("_turn") / CHUNK), F.lit(-(2**62))).cast("long").alias("chunk"),
-        F.struct("_turn", "_role", "_body", open_tag.alias("_open"), "_attachments").alias("_t"),
-    )
+    # One order of all rows, whose ties are alike: a row's place, not its turn number, gives its chunk.
+    order = ["conv_id", "_turn", "_role", "_body", "_attachments"]
+    placed = flat.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK).cast("long"))
+    turns = placed.select("conv_id", "chunk", F.struct("_turn", "_role", "_body", open_tag.alias("_open"), "_attachments").alias("_t"))
     chunks = turns.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
     text = F.array_join(F.transform("_ts", lambda t: F.concat(t["_open"], t["_body"], F.lit(CLOSE))), "")
     walk = F.aggregate(
@@ -130,11 +132,11 @@ def masked_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-def join_chunks(chunks: DataFrame, **columns: Column) -> DataFrame:
-    """One row for each conversation: the named string columns of its chunks, joined in order."""
-    made = chunks.select("conv_id", F.struct("chunk", *(c.alias(k) for k, c in columns.items())).alias("_c"))
-    whole = made.groupBy("conv_id").agg(F.array_sort(F.collect_list("_c")).alias("_cs"))
-    return whole.select("conv_id", *(F.array_join(F.col(f"_cs.{k}"), "").alias(k) for k in columns))
+def join_chunks(chunks: DataFrame, sums: dict[str, Column] | None = None, **columns: Column) -> DataFrame:
+    """One row for each conversation: the named string columns of its chunks, joined in order, and sums over its chunks."""
+    made = chunks.select("conv_id", F.struct("chunk", *(c.alias(k) for k, c in columns.items())).alias("_c"), *(c.alias(k) for k, c in (sums or {}).items()))
+    whole = made.groupBy("conv_id").agg(F.array_sort(F.collect_list("_c")).alias("_cs"), *(F.sum(k).alias(k) for k in sums or ()))
+    return whole.select("conv_id", *(F.array_join(F.col(f"_cs.{k}"), "").alias(k) for k in columns), *(sums or ()))
 
 
 def format_conversations(df: DataFrame, **columns: str) -> DataFrame:

@@ -43,16 +43,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("chars"),
         chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("masked"),
     ).select("conv_id", "chunk", "chars", "masked", F.size("turns").cast("long").alias("n"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("echo"))
-    counts = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
-    whole = chat.join_chunks(read, echo=F.col("echo"), masked=F.col("masked"))
-    return whole.join(counts, whole["conv_id"].eqNullSafe(counts["conv_id"])).select(
-        whole["conv_id"],
-        "n_turns",
-        F.sha2("echo", 256).alias("turns_sha256"),
-        F.length("masked").cast("long").alias("loss_chars"),
-        F.sha2("masked", 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    whole = chat.join_chunks(read, {"n_turns": F.col("n"), "formatted_chars": F.col("chars")}, echo=F.col("echo"), masked=F.col("masked"))
+    return whole.select(
+        "conv_id", "n_turns", F.sha2("echo", 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars"
+    )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

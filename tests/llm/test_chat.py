@@ -41,6 +41,27 @@ def test_many_turns_nulls_ties_and_repeats(spark):
     assert got[None] == ([("user", "x")], "")
 
 
+def test_turns_without_numbers_or_with_equal_ones_fill_bounded_chunks(spark):
+    rows = [(1, None, "user", f"text {k:04}") for k in range(500)] + [(2, 5, "assistant", "the same")] * 300
+    df = spark.createDataFrame(rows, MESSAGE)
+    chunks = formatted(df).select("conv_id", F.size(chat.read_turns(F.col("formatted"))).alias("n")).collect()
+    assert max(r.n for r in chunks) <= chat.CHUNK
+    assert read_back(df) == {1: ([("user", f"text {k:04}") for k in range(500)], ""), 2: ([("assistant", "the same")] * 300, "the same" * 300)}
+
+
+def test_a_very_long_text_and_many_parts(spark):
+    long = "<turn \\ é " * 60_000
+    assert read_back(spark.createDataFrame([(1, 0, "assistant", long)], MESSAGE)) == {1: ([("assistant", long)], long)}
+    part = "named_struct('type',if(id % 3 = 0,'text','image'),'text',concat('t',id),'ref',string(id),'width',1,'height',1,'seconds',null,'pages',null)"
+    df = spark.sql(f"select 1L conv_id, 0L turn, 'user' role, cast(transform(sequence(0, 8999), id -> {part}) as array<{chat.PART_TYPE}>) parts")
+    row = chat.format_chunks(df).first()
+    want, n = "", 0
+    for k in range(9000):
+        n += k % 3 > 0
+        want += f"<part image {n}>" if k % 3 else f"t{k}"
+    assert want in row.formatted and len(row.attachments) == n
+
+
 def test_parts_become_ordered_placeholders(spark):
     parts = "array(named_struct('type','text','text','see <part image 1>','ref',null,'width',null,'height',null,'seconds',null,'pages',null), " + ", ".join(
         f"named_struct('type','{t}','text',null,'ref','{r}','width',{w},'height',{h},'seconds',{s},'pages',{p})"
