@@ -6,21 +6,28 @@ its transpose as far as size bounds leave anything to add up:
 1. Equal sets are one class; a class meets the others once.
 2. Blocked product, first pass: each block tells for each class how many of its n-grams any other class
    has. The sum over the blocks bounds every overlap of the class from above. Classes whose sum is below
-   `threshold` of their size link with nothing and are done: most of a corpus ends here.
+   `threshold` of their size link with nothing and are done: most of a corpus ends here. A slice of documents
+   sends an n-gram that several of its classes have once, with their counts, so that a block does not grow with
+   the holders of a very common n-gram but with the slices that have it.
 3. Among the rest a pair that links shares an n-gram within the first size - ceil(threshold * size) + 1 of
    both sets, in an order that puts rare n-grams first (by a counter array of fixed size, then by hash: any
    order is right, a good one proposes little). The holders of each such n-gram join one candidate group.
-4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Each pair of tiles is
-   multiplied exactly, a column block at a time; pairs below what their sizes ask for are discarded, and
-   the tiles yield a spanning forest of their links instead of the links themselves.
+4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Products are exact, a
+   column block at a time; pairs below what their sizes ask for are discarded, and a product yields a spanning
+   forest of its links instead of the links themselves. First every tile is multiplied with itself and the
+   group's first tile. Documents that are then of the group's largest component are linked already and need no
+   product among themselves: only the others are multiplied with the rest of the group.
 
-So nothing is ever a row for each pair: classes, entries, tiles and forests are linear in the documents, and
-a large group of near copies costs only products of bounded tiles. Components of the forests are the result.
+So nothing is ever a row for each pair: classes, entries, tiles and forests are linear in the documents. A large
+group of near copies is one component after the first products, whose number is that of its tiles. Where a group
+falls apart, with m documents beyond its largest component and t tiles, m / TILE * t more products of bounded
+tiles are needed. Components of the forests are the result.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than n words
 has one n-gram, the whole sequence. Defined results: null, empty and blank texts have no n-grams and link
 with nothing; of rows with one id that with the smallest digest stands for all; rows without an id are
-left out; an empty table gives an empty result; other columns are ignored.
+left out; the n-grams of a text of any length are one set, in one row; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
-from .shared import bloom_filter, connected_components, in_filter, saved
+from .shared import bloom_filter, connected_components, discard, held_by_several, in_filter, salted, saved, spread_join
 
 #: N-grams of a column block, about.
 BLOCK = 3_000_000
 #: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
-TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 4096
+TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 4096
 #: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
 CELLS, SHARD = 1 << 18, 16_384
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -139,48 +146,62 @@ def shared_counts(docs: DataFrame, n: int, blocks: int, shards: int) -> DataFram
     """
 
     def emit(ids, sets):
-        kept = [s for s in sets if len(s)]
-        if not kept:
+        by_key = {xxhash.xxh3_128_digest(s.tobytes())[:8]: s for s in sets if len(s)}  # a class once
+        if not by_key:
             return
-        h = np.concatenate(kept)
-        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes())[:8] for s in kept), "<i8")
-        own = np.repeat(np.arange(len(kept)), [len(s) for s in kept])
-        block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
-        order = np.argsort(block, kind="stable")
-        block, own, low = block[order], own[order], h[order].astype(np.uint32)
-        ends = np.searchsorted(block, np.arange(blocks + 1))
-        out = {"block": [], "hashes": [], "classes": [], "counts": []}
+        keys = np.frombuffer(b"".join(by_key), "<i8")
+        h = np.concatenate(list(by_key.values()))
+        own = np.repeat(np.arange(len(keys)), [len(s) for s in by_key.values()])
+        block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+        column = block << 32 | h.astype(np.uint32).astype(np.int64)
+        order = np.argsort(column, kind="stable")
+        column, own = column[order], own[order]
+        same = column[1:] == column[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        first = np.concatenate([[True], ~same])
+        ends = np.searchsorted(column, np.arange(blocks + 1, dtype=np.int64) << 32)
+        out = {"block": [], "hashes": [], "common": [], "classes": [], "counts": [], "shared": []}
         for b in np.nonzero(np.diff(ends))[0]:
             part = slice(ends[b], ends[b + 1])
-            which, counts = np.unique(own[part], return_counts=True)
+            which, at = np.unique(own[part], return_inverse=True)
+            alone = ~several[part]
+            by_class = np.argsort(at[alone], kind="stable")
+            low = (column[part] & 0xFFFFFFFF).astype(np.uint32)
             out["block"].append(int(b))
-            out["hashes"].append(low[part].tobytes())
+            out["hashes"].append(low[alone][by_class].tobytes())
+            out["common"].append(low[several[part] & first[part]].tobytes())
             out["classes"].append(keys[which].tobytes())
-            out["counts"].append(counts.astype("<u4").tobytes())
+            out["counts"].append(np.bincount(at[alone], minlength=len(which)).astype("<u4").tobytes())
+            out["shared"].append(np.bincount(at[~alone], minlength=len(which)).astype("<u4").tobytes())
         yield out
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
         low = np.frombuffer(b"".join(rows["hashes"]), "<u4").astype(np.uint64)
-        keys, own = np.unique(np.frombuffer(b"".join(rows["classes"]), "<i8"), return_inverse=True)
-        own = np.repeat(own, np.frombuffer(b"".join(rows["counts"]), "<u4"))
-        entry = np.unique(low << np.uint64(32) | own.astype(np.uint64))
+        common = np.frombuffer(b"".join(rows["common"]), "<u4").astype(np.uint64)
+        keys, at = np.unique(np.frombuffer(b"".join(rows["classes"]), "<i8"), return_inverse=True)
+        own = np.repeat(at, np.frombuffer(b"".join(rows["counts"]), "<u4"))
+        entry = np.unique(np.concatenate([low << np.uint64(32) | own.astype(np.uint64), common << np.uint64(32) | np.uint64(len(keys))]))
         column = entry >> np.uint64(32)
         same = column[1:] == column[:-1]
         others = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        shared = np.bincount((entry[others] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys))
-        at = np.nonzero(shared)[0]
-        keys, shared = keys[at], shared[at].astype("<u4")
+        shared = np.bincount((entry[others] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys) + 1)[: len(keys)]
+        # An n-gram that stands alone in no slice with the class is among the shared ones of every such slice: the least of them bounds those.
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, np.frombuffer(b"".join(rows["shared"]), "<u4").astype(np.int64))
+        shared = shared + least
+        hit = np.nonzero(shared)[0]
+        keys, shared = keys[hit], shared[hit].astype("<u4")
         shard = keys.astype(np.uint64) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         which, ends = np.unique(shard[order], return_index=True)
         parts = np.split(order, ends[1:])
-        return pd.DataFrame({"shard": which.astype(np.int32), "keys": [keys[x].tobytes() for x in parts], "shared": [shared[x].tobytes() for x in parts]}) if len(at) else pd.DataFrame({"shard": np.empty(0, np.int32), "keys": [], "shared": []})
+        return pd.DataFrame({"shard": which.astype(np.int32), "keys": [keys[x].tobytes() for x in parts], "shared": [shared[x].tobytes() for x in parts]}) if len(hit) else pd.DataFrame({"shard": np.empty(0, np.int32), "keys": [], "shared": []})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         keys, own = np.unique(np.frombuffer(b"".join(rows["keys"]), "<i8"), return_inverse=True)
         return pd.DataFrame({"k1": keys, "shared": np.bincount(own, np.frombuffer(b"".join(rows["shared"]), "<u4")).astype(np.int64)})
 
-    cut = map_arrow(docs, set_rows(n, emit), struct("block int, hashes binary, classes binary, counts binary"))
+    cut = map_arrow(docs, set_rows(n, emit), struct("block int, hashes binary, common binary, classes binary, counts binary, shared binary"))
     products = cut.groupBy("block").applyInPandas(multiply, "shard int, keys binary, shared binary")
     return products.groupBy("shard").applyInPandas(add, "k1 long, shared long")
 
@@ -256,10 +277,15 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (a, b) of the links among the rows of a tile, or between the rows of two tiles."""
+def linked(overlap: np.ndarray, left: np.ndarray, right: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Where sets of these sizes and overlaps reach a Jaccard similarity of p / q: in whole numbers, which no size rounds."""
+    return overlap.astype(np.int64) * (p + q) >= p * (left.astype(np.int64)[:, None] + right.astype(np.int64)[None])
+
+
+def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the links between the rows at left and those at right, which may meet."""
     n = len(ids)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     h = np.concatenate(sets)
     row = np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(h, kind="stable")
@@ -269,13 +295,11 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int
     del h
     held = np.bincount(column)[column] > 1  # a column with one row adds to no pair
     row, column = row[held], column[held]
-    first = tile == tile.min()
-    one_tile = bool(first.all())
-    left, right = np.nonzero(first)[0], np.nonzero(first if one_tile else ~first)[0]
-    place = np.empty(n, np.int64)
-    place[right] = np.arange(len(right))
-    place[left] = np.arange(len(left))
-    overlap = np.zeros((len(left), len(right)), np.float32)
+    in_left, in_right = np.zeros(n, bool), np.zeros(n, bool)
+    in_left[left], in_right[right] = True, True
+    place_left, place_right = np.empty(n, np.int64), np.empty(n, np.int64)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    overlap = np.zeros((len(left), len(right)), np.int32)
     if len(row):
         column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]), dtype=np.int32)
         starts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
@@ -283,33 +307,64 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, p: int
             rows, at = np.unique(row[a:b], return_inverse=True)
             block = np.zeros((len(rows), COLUMNS), np.float32)
             block[at, column[a:b] - column[a]] = 1
-            mine = first[rows]
-            other = mine if one_tile else ~mine
-            overlap[np.ix_(place[rows[mine]], place[rows[other]])] += block[mine] @ block[other].T
-    linked = overlap * (p + q) >= p * (sizes[left][:, None] + sizes[right][None])
-    i, j = np.nonzero(linked)
+            mine, other = in_left[rows], in_right[rows]
+            overlap[np.ix_(place_left[rows[mine]], place_right[rows[other]])] += (block[mine] @ block[other].T).astype(np.int32)
+    i, j = np.nonzero(linked(overlap, sizes[left], sizes[right], p, q))
     label = forest(left[i], right[j], n)
     at = np.nonzero(label != np.arange(n))[0]
     return ids[at], ids[label[at]]
 
 
-def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): spanning forests of the links within candidate groups (node, label)."""
-    sized = groups.join(sets.select(F.col("doc_id").alias("node"), "size"), "node")
-    counts = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
-    dealt = groups.join(counts, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # A tile meets itself and every other once. Only ids are dealt by label; the sets join by id.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select(F.col("node").alias("doc_id"), "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    rows = sets.join(dealt, "doc_id").select("label", "i", "j", "tile", "doc_id", "set")
+def products(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): spanning forests of the links of each (label, i, j) between the rows with side 0 and all rows. dealt: doc_id, label, i, j, side."""
+    rows = sets.join(dealt, "doc_id").select("label", "i", "j", "side", "doc_id", "set")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile_links(group["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], group["tile"].to_numpy(), p, q)
+        group = group.sort_values(["doc_id", "side"]).drop_duplicates("doc_id")  # a row on both sides is one row
+        left = np.nonzero(group["side"].to_numpy() == 0)[0]
+        a, b = tile_links(group["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], left, np.arange(len(group)), p, q) if len(left) else (np.empty(0, np.int64),) * 2
         return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("label", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def tiles(rows: DataFrame, into: str) -> DataFrame:
+    """rows (node, label, size) with `into`, the tile of the row in its label, and its number of tiles in `into`_n."""
+    counts = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias(f"{into}_n"))
+    return spread_join(rows, counts, ["label"], "node").withColumn(into, F.pmod(F.xxhash64("node"), F.col(f"{into}_n")).cast("int"))
+
+
+def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
+    """(node, label): the components of the links within candidate groups (node, label) of several documents."""
+    sized = groups.join(sets.select(F.col("doc_id").alias("node"), "size"), "node").select("node", "label", "size")
+    dealt = saved(tiles(sized, "tile"))
+    # Every tile meets itself and the first tile. Only ids are dealt by label; the sets join by id.
+    own = dealt.select(F.col("node").alias("doc_id"), "label", F.lit(0).alias("i"), F.col("tile").alias("j"), F.lit(0).alias("side"))
+    first = dealt.where("tile = 0 and tile_n > 1").select(F.col("node").alias("doc_id"), "label", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("tile_n") - 1)).alias("j"), F.lit(1).alias("side"))
+    links = saved(products(sets, own.unionByName(first), p, q))
+    parts = connected_components(links)
+    # What is not of the largest component of a group of several tiles meets the other tiles of the group.
+    if dealt.where("tile_n > 1").isEmpty():
+        discard(dealt)
+        return parts
+    placed = dealt.where("tile_n > 1").join(parts.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = placed.groupBy("label", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("largest"))
+    placed = spread_join(placed, largest, ["label"], "node")
+    others = saved(tiles(placed.where("part <> largest").select("node", "label", "size"), "other"))
+    if others.isEmpty():
+        discard(dealt, others)
+        return parts
+    other_n = others.select("label", "other_n").distinct()
+    many = spread_join(others, dealt.select("label", "tile_n").distinct(), ["label"], "node")
+    left = many.select(F.col("node").alias("doc_id"), "label", F.col("other").alias("i"), F.explode(F.sequence(F.lit(1), F.col("tile_n") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = spread_join(dealt.where("tile > 0"), other_n, ["label"], "node").where("other_n is not null").select(F.col("node").alias("doc_id"), "label", F.explode(F.sequence(F.lit(0), F.col("other_n") - 1)).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
+    more = saved(products(sets, left.unionByName(right), p, q))
+    whole = connected_components(links.unionByName(more))
+    discard(dealt, others, links, more)
+    return whole
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: the smallest id reachable by links."""
     docs = id_and_text(df, id_col, text_col).where("doc_id is not null")
@@ -321,11 +376,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), max(1, -(-n_docs // SHARD)))
     rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1"))
     sets = saved(ngram_sets(docs, n, rest))
-    entries = prefixes(sets, rarity(sets), p, q)
-    held = entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    proposed = entries.join(held, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = linked_in_groups(sets, connected_components(proposed), p, q)
-    final = connected_components(links)
+    entries = salted(prefixes(sets, rarity(sets), p, q), "doc_id")
+    proposed = entries.join(held_by_several(entries, ["h"], "doc_id"), ["h", "_salt"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    final = saved(linked_in_groups(sets, connected_components(proposed), p, q))
+    discard(rest, sets)
     members = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     return table.join(members, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 

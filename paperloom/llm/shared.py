@@ -96,6 +96,13 @@ def held_by_several(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     return over_salts(parts, keys, first=F.min("_low"), _last=F.max("_high")).where("first < _last").select(*keys, "_salt", "first")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows left-joined to table, which has one row for each key; rows of a hot key are dealt by a salt of the column by."""
+    own = salted(rows, by)
+    wanted = own.select(*keys, "_salt").distinct().join(table, keys)
+    return own.join(wanted, [*keys, "_salt"], "left").drop("_salt")
+
+
 def with_least(edges: DataFrame) -> DataFrame:
     """(a, b, m) of edges (a, b): m is the smallest b of each a."""
     own = salted(edges.select("a", "b"), "b")
