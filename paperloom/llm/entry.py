@@ -50,9 +50,9 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, find_pii
+    from .pii import KINDS, find_spans
 
-    found = find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    found = find_spans(read_table(spark, sf_dir, "documents")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     return found.select(
         "doc_id",

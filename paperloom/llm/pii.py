@@ -1,19 +1,25 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that give them away.
 
 Entities are the protected values that patterns find (e-mail and IP addresses, card and phone numbers).
-The corpus tells how strongly a term discloses an entity: with n(t, e) documents that hold term t near
-entity e, and n(t), n(e) documents of N that hold either, the disclosure is the pointwise mutual information
+The corpus tells how strongly a term discloses an entity: with n(t, e) texts that hold term t beside entity e,
+anywhere in the text, and n(t), n(e) texts of N that hold either, the disclosure is the pointwise mutual information
 log2(N n(t, e) / (n(t) n(e))) as a share of the entity's information log2(N / n(e)). It is 1 when the term
-occurs with the entity only. In the documents that hold the entity, terms from `generalise_at` are
+occurs with the entity only. In the texts that hold the entity, terms from `generalise_at` are
 generalised to a placeholder of their shape, and from `remove_at` removed.
 
-Only DataFrame functions: spans come from the matches of a pattern and the gaps between them, sums by term
-and entity are aggregated before they are shuffled, and a document's terms are found again by one pattern
-made of them.
+Terms are runs of letters, digits and marks, in any case, of `least_bytes` bytes of UTF-8 or more (three: Kim, emp4711,
+one ideograph). A term needs `least_docs` texts with the entity: in fewer, any rare word of a text would count as
+evidence, so entities of one or two texts have no terms. Copies of a text are one piece of evidence and count once.
+
+Only DataFrame functions. The pattern spans of all texts are found once and kept, with the text where there are any;
+pairs of entity and term come from these texts, are counted with map-side sums, and only terms of enough pairs are
+counted in the whole corpus. Within a row, running totals are made block by block, so that a text with very many matches
+costs time in proportion to their number.
 
 Defined results: null text counts as empty; spans of a kind never overlap, and terms that overlap a pattern
-span are left to it; rows with the same id and text have the same spans; an empty table gives an empty
-result; other columns are ignored. Repeated rows count once for each id in the corpus counts.
+span are left to it; rows with the same text have the same spans, whatever their ids, null ids included; repeated rows
+give repeated results; texts of any length are scanned whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, saved, spread_join
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive, and anchored where a run begins, so that long runs cost linear time.
 PATTERNS = {
@@ -29,11 +37,35 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A cheap test that any match must pass.
-HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Cheap tests that any text with a span must pass: a character, then a pattern.
+HINTS = {"email": ("@", r"@[A-Za-z0-9-]"), "ip": (".", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": (None, r"(?:[0-9][\x20-]?+){12}[0-9]"), "phone": ("+", r"\+[0-9]")}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-#: Code points on either side of an entity whose words count as near it, and the shortest word that counts.
-NEAR, LEAST_LETTERS = 80, 4
+WORD = r"[\p{L}\p{N}\p{M}]++"
+#: What tells texts apart.
+KEY = ["k1", "k2"]
+#: Elements that a fold appends to one array.
+BLOCK = 128
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """The running totals of an array of bigint under combine, which ignores null. Folds copy what they append to: they see BLOCK elements each."""
+    none = F.array().cast("array<bigint>")
+    last = lambda xs: F.get(xs, F.size(xs) - 1)
+    fold = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(combine(last(acc), x), x))))
+
+    def joined(blocks: Column) -> Column:
+        return let(fold(F.transform(blocks, last)), lambda at: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(combine(F.get(at, k - 1), x), x)))))
+
+    def cut(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: fold(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(xs) == 0, none).otherwise(let(blocks, joined))
+
+    return let(values, cut)
 
 
 def digits(value: Column) -> Column:
@@ -62,20 +94,16 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: Column, kind: Column | str) -> Column:
-    """The matches of a pattern as spans, in order: each match begins after the gaps and matches before it."""
-    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+def located(text: Column, pattern: Column, kind: str) -> Column:
+    """The matches of a pattern as spans, in order: each match ends after the gaps and matches up to it."""
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        name = F.lit(kind) if isinstance(kind, str) else kind
-        span = F.struct(name.alias("kind"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), pair["match"].alias("value"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(f: Column) -> Column:
+        ends = running(F.transform(f["matches"], lambda m, k: (F.length(m) + F.length(F.get(f["gaps"], k))).cast("bigint")), lambda a, b: a + b)
+        span = lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).cast("bigint").alias("start"), end.alias("end"), m.alias("value"))
+        return let(ends, lambda at: F.transform(f["matches"], lambda m, k: span(m, F.get(at, k))))
 
-    pairs = F.arrays_zip(matches.alias("match"), F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return let(found, spans)
 
 
 def accept(kind: str):
@@ -87,79 +115,121 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
     found = []
     for kind in KINDS:
-        spans = F.when(text.rlike(HINTS[kind]), located(text, F.lit(PATTERNS[kind]), kind)).otherwise(none)
-        found.append(F.filter(spans, accept(kind)))
+        char, hint = HINTS[kind]
+        likely = text.rlike(hint) if char is None else text.contains(char) & text.rlike(hint)
+        found.append(F.filter(F.when(likely, located(text, F.lit(PATTERNS[kind]), kind)).otherwise(none), accept(kind)))
     return F.concat(*found)
 
 
+def replaced(text: Column, spans: Column, fill) -> Column:
+    """text with fill(span, at) in the place of each span; at is where the spans before it end, which may lie inside it."""
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    four = lambda n: (n * 4).cast("int")  # noqa: E731  bytes of n code points in UTF-32
+
+    def rewritten(r: Column) -> Column:
+        def piece(s: Column, at: Column) -> Column:
+            between = F.when(s["start"] > at, F.decode(F.substring(r["code"], four(at) + 1, four(s["start"] - at)), "UTF-32")).otherwise(F.lit(""))
+            return F.concat(between, fill(s, at))
+
+        def whole(ends: Column) -> Column:
+            pieces = F.transform(r["spans"], lambda s, k: piece(s, F.coalesce(F.get(ends, k - 1), F.lit(0).cast("bigint"))))
+            rest = F.substring(r["code"], four(F.get(ends, F.size(ends) - 1)) + 1, F.length(r["code"]))
+            return F.concat(F.array_join(pieces, ""), F.decode(rest, "UTF-32"))
+
+        return let(running(F.transform(r["spans"], lambda s: s["end"]), F.greatest), whole)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(by_place.alias("spans"), F.encode(text, "UTF-32").alias("code")), rewritten))
+
+
+def sanitized(text: Column, spans: Column) -> Column:
+    """The text with each span replaced: by its kind in brackets, or by nothing for a removed term. A span that begins inside another goes with it."""
+    return replaced(text, spans, lambda s, at: F.when((s["kind"] == "term") | (s["start"] < at), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in the place of each span."""
+    return replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int")))
+
+
 def entity_key(span: Column) -> Column:
     """One key for every way of writing an entity."""
     number = span["kind"].isin("card", "phone")
     return F.concat(span["kind"], F.lit(":"), F.when(number, digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{%d,}+(?![\p{L}\p{N}])" % LEAST_LETTERS), F.lit(0)))
+def words(text: Column, least_bytes: int) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.octet_length(w) >= least_bytes))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, least_docs: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity. found: (doc_id, text, spans) with spans only."""
-    total = docs.select("doc_id").distinct().agg(F.count("*").alias("n")).first()["n"]
-    mentions = found.select("doc_id", "text", F.explode("spans").alias("s"))
-    begin = F.greatest(F.col("s.start") - NEAR, F.lit(0))
-    before = F.col("text").substr((begin + 1).cast("int"), (F.col("s.start") - begin).cast("int"))
-    after = F.col("text").substr((F.col("s.end") + 1).cast("int"), F.lit(NEAR))
-    # A word that the edge of the window may have cut does not count.
-    before = F.when(begin > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]++", "")).otherwise(before)
-    after = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"[\p{L}\p{N}]++$", "")).otherwise(after)
-    near = mentions.select("doc_id", entity_key(F.col("s")).alias("entity"), F.explode(words(F.concat(before, F.lit(" . "), after))).alias("term"))
-    entities = mentions.select("doc_id", entity_key(F.col("s")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
-    by_term = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= least_docs)
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    scored = pairs.join(entities, "entity").join(by_term, "term").where(information > 0)
-    return scored.select("entity", "term", (shared / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+def mark(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, spans, text) of each row: its pattern spans, and its text if it has any."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
+    return docs.withColumn("spans", base_spans(F.col("text"))).select("doc_id", *KEY, "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """(doc_id, spans, sanitized) for each row: pattern spans by kind and start, then the terms' spans likewise.
+def texts_with_entities(marked: DataFrame, least_docs: int) -> DataFrame:
+    """(k1, k2, entities, text) of each text with entities that least_docs texts hold: their keys and numbers n, and the text with its spans blanked."""
+    mentions = marked.select(*KEY, F.explode("spans").alias("s")).select(*KEY, entity_key(F.col("s")).alias("entity")).distinct()
+    counts = mentions.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    held = mentions.join(counts, "entity").groupBy(*KEY).agg(F.collect_list(F.struct("entity", "n")).alias("entities"))
+    own = marked.where(F.size("spans") > 0).select(*KEY, "spans", "text").dropDuplicates(KEY)  # copies go before they meet
+    return own.join(held, KEY).select(*KEY, "entities", blanked(F.col("text"), F.col("spans")).alias("text"))
 
-    Offsets are code points, the end exclusive. A term's kind is `term` if it is removed and `name` or `word` by its
-    shape if it is generalised. In sanitized every span is replaced.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = docs.withColumn("spans", base_spans(F.col("text")))
-    found = marked.where(F.size("spans") > 0)
-    terms = disclosing_terms(docs, found, least_docs, generalise_at)
-    mentions = found.select("doc_id", F.xxhash64("text").alias("key"), F.explode("spans").alias("s")).select("doc_id", "key", entity_key(F.col("s")).alias("entity")).distinct()
-    of_doc = mentions.join(terms, "entity").groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
-    of_doc = of_doc.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
-    texts = found.withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"]).join(of_doc, ["doc_id", "key"])
-    any_term = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("terms.term"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    strength = F.map_from_entries("terms")
-    spans = F.filter(located(F.col("text"), any_term, "term"), lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    shape = lambda t: F.when(F.coalesce(strength[F.lower(t["value"])], F.lit(1.0)) >= remove_at, F.lit("term")).when(t["value"].rlike(r"^\p{Lu}"), F.lit("name")).otherwise(F.lit("word"))
-    kinds = F.transform(spans, lambda t: F.struct(shape(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
-    extra = texts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), kinds.alias("_terms"))
-    keyed = marked.withColumn("_has", F.when(F.size("spans") > 0, F.xxhash64("text")))
-    joined = keyed.join(extra, (F.col("doc_id") == F.col("_id")) & (F.col("_has") == F.col("_key")), "left")
-    all_spans = F.concat("spans", F.array_sort(F.coalesce("_terms", F.array().cast(SPAN))))
-    return joined.select("doc_id", all_spans.alias("spans"), sanitized(F.col("text"), all_spans).alias("sanitized"))
 
+def paired(texts: DataFrame, least_bytes: int) -> DataFrame:
+    """(k1, k2, entity, n, term) of each entity and term of a text."""
+    return texts.select(*KEY, "entities", F.explode(words(F.col("text"), least_bytes)).alias("term")).select(*KEY, "term", F.inline("entities"))
 
-def sanitized(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: by its kind in brackets, or by nothing for a removed term."""
-    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        placed = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], between, placed).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], done).otherwise(inside)
-
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    )
+
+def disclosing_terms(df: DataFrame, text_col: str, marked: DataFrame, texts: DataFrame, least_docs: int, least_bytes: int, generalise_at: float) -> DataFrame:
+    """(entity, term, disclosure) of the terms that disclose an entity."""
+    total = float(marked.select(*KEY).distinct().count())
+    pairs = saved(paired(texts, least_bytes).groupBy("entity", "n", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs))
+    wanted = saved(pairs.select("term").distinct())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), F.explode(words(F.col("text"), least_bytes)).alias("term"))
+    by_term = every.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    information = F.log2(F.lit(total) / F.col("n"))
+    together = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n")))
+    scored = pairs.join(by_term, "term").where(information > 0)
+    terms = saved(scored.select("entity", "term", (together / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
+    discard(pairs, wanted)
+    return terms
+
+
+def term_spans(texts: DataFrame, terms: DataFrame, least_bytes: int, remove_at: float) -> DataFrame:
+    """(k1, k2, terms) of each text with disclosing terms: their spans by kind and start."""
+    hits = paired(texts, least_bytes).join(terms, ["entity", "term"]).groupBy(*KEY, "term").agg(F.max("disclosure").alias("disclosure"))
+    placed = texts.select(*KEY, F.explode(located(F.col("text"), F.lit(WORD), "word")).alias("w")).select(*KEY, F.lower("w.value").alias("term"), "w")
+    found = placed.where(F.octet_length("term") >= least_bytes).join(hits, [*KEY, "term"])
+    kind = F.when(F.col("disclosure") >= remove_at, F.lit("term")).when(F.col("w.value").rlike(r"^\p{Lu}"), F.lit("name")).otherwise(F.lit("word"))
+    span = F.struct(kind.alias("kind"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("value"))
+    return found.groupBy(*KEY).agg(F.sort_array(F.collect_list(span)).alias("terms"))
+
+
+def find_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_bytes: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95
+) -> DataFrame:
+    """(doc_id, k1, k2, spans) for each row: pattern spans by kind and start, then the terms' spans likewise.
+
+    Offsets are code points, the end exclusive. A term's kind is `term` if it is removed and `name` or `word` by its
+    shape if it is generalised. k1 and k2 are made of the text.
+    """
+    marked = saved(mark(df, id_col, text_col))
+    texts = saved(texts_with_entities(marked, least_docs))
+    terms = disclosing_terms(df, text_col, marked, texts, least_docs, least_bytes, generalise_at)
+    extra = term_spans(texts, terms, least_bytes, remove_at)
+    joined = spread_join(marked.select("doc_id", *KEY, "spans"), extra, KEY, "doc_id")
+    return joined.select("doc_id", *KEY, F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))
+
+
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, spans, sanitized) for each row: the spans of find_spans, and the text with every span replaced."""
+    spans = find_spans(df, id_col, text_col, **options).select("doc_id", *KEY, "spans")
+    by_text = spans.where(F.size("spans") > 0).select(*KEY, "spans").dropDuplicates(KEY)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"))
+    joined = spread_join(docs, by_text, KEY, "doc_id").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    return joined.select("doc_id", "spans", sanitized(F.col("text"), F.col("spans")).alias("sanitized"))
