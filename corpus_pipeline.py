@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the docs of the next. All but the last return the columns of documents.
+
+Defined results of every stage: an empty table gives an empty table; repeated rows, ties and texts of any length are
+handled as its operator says; extra columns of documents, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,14 +18,14 @@ from paperloom.llm.arrow_io import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, whole. Null and empty texts stay; null languages are one; without trusted labels all stay."""
     from paperloom.llm.quality import filter_quality
 
     return filter_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document of smaller id holds; n_chars is counted anew."""
+    """All documents, without the lines that a document of smaller id holds; n_chars is counted anew, where it is a column. Null texts stay null; rows without an id keep all lines."""
     from paperloom.llm.line_dedup import dedup_lines
 
     kept = dedup_lines(docs, counts=None)
@@ -32,21 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id with all rows of that id. Rows without an id, and texts that are null, empty or blank, stay."""
     from paperloom.llm.jaccard import drop_near_copies
 
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Rows of an id go together, rows without one by their own text; null texts hold nothing; an empty benchmark keeps all."""
     from paperloom.llm.decontaminate import drop_contaminated
 
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document left."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row left; null text counts as empty and has no tokens; null ids stay null."""
     import public_tokenizers
 
     from paperloom.llm.bpe import encode_decode
@@ -62,20 +65,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over documents; what lies between them is in the shared folder until the next is written."""
-    from paperloom.llm.shared import ensure_checkpoint_dir
+    """The result of all stages over documents. What lies between them is in the shared folder until it is used, or the run fails; the result goes with the session's process."""
+    from paperloom.llm.shared import delete, delete_at_exit, shared_folder
 
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     docs, last = read_table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        written = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(written)
-        docs = spark.read.parquet(written)
-        if last is not None:
-            path = spark._jvm.org.apache.hadoop.fs.Path(last)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        last = written
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            written = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(written)
+            docs = spark.read.parquet(written)
+            if last is not None:
+                delete(spark, last)
+            last = written
+    except BaseException:
+        delete(spark, folder)
+        raise
     return docs
 
 
