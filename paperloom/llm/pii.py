@@ -12,8 +12,8 @@ one ideograph). A term needs `least_docs` texts with the entity: in fewer, any r
 evidence, so entities of one or two texts have no terms. Copies of a text are one piece of evidence and count once.
 
 Only DataFrame functions. The pattern spans of all texts are found once and kept, with the text where there are any;
-pairs of entity and term come from these texts, are counted with map-side sums, and only terms of enough pairs are
-counted in the whole corpus. Within a row, running totals are made block by block, so that a text with very many matches
+pairs of entity and term come from these texts, are counted with map-side sums, and only terms that may disclose an
+entity by an exact bound are counted in the whole corpus. Within a row, running totals are made block by block, so that a text with very many matches
 costs time in proportion to their number.
 
 Defined results: null text counts as empty; spans of a kind never overlap, and terms that overlap a pattern
@@ -40,11 +40,11 @@ PATTERNS = {
 #: Cheap tests that any text with a span must pass: a character, then a pattern.
 HINTS = {"email": ("@", r"@[A-Za-z0-9-]"), "ip": (".", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": (None, r"(?:[0-9][\x20-]?+){12}[0-9]"), "phone": ("+", r"\+[0-9]")}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-WORD = r"[\p{L}\p{N}\p{M}]++"
+WORD = r"[A-Za-z0-9\p{L}\p{N}\p{M}]++"  # the first three only for speed
 #: What tells texts apart.
 KEY = ["k1", "k2"]
-#: Elements that a fold appends to one array.
-BLOCK = 128
+#: Elements that a fold appends to one array, and terms that may be broadcast: some ten bytes each.
+BLOCK, SMALL_TERMS = 128, 1_000_000
 
 
 def let(value: Column, use) -> Column:
@@ -183,18 +183,33 @@ def paired(texts: DataFrame, least_bytes: int) -> DataFrame:
     return texts.select(*KEY, "entities", F.explode(words(F.col("text"), least_bytes)).alias("term")).select(*KEY, "term", F.inline("entities"))
 
 
+def term_counts(df: DataFrame, text_col: str, wanted: DataFrame, least_bytes: int) -> DataFrame:
+    """(term, n_t): the texts that hold each wanted term; where there are many, also of others."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
+    if wanted.count() <= SMALL_TERMS:  # terms leave the scan only if they are wanted
+        held = every.select(*KEY, F.explode(words(F.col("text"), least_bytes)).alias("term")).join(F.broadcast(wanted), "term", "left_semi").distinct()
+    else:  # copies go first, then each task sums what it has of a term
+        held = every.dropDuplicates(KEY).select(F.explode(words(F.col("text"), least_bytes)).alias("term"))
+    return held.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def disclosing_terms(df: DataFrame, text_col: str, marked: DataFrame, texts: DataFrame, least_docs: int, least_bytes: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity."""
+    """(entity, term, disclosure) of the terms that disclose an entity.
+
+    The disclosure reaches generalise_at where n(t) <= n(t, e) (N / n(e)) ** (1 - generalise_at). Terms that already
+    more texts with entities hold are not counted in the corpus.
+    """
     total = float(marked.select(*KEY).distinct().count())
-    pairs = saved(paired(texts, least_bytes).groupBy("entity", "n", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs))
+    n_e, n_te = F.col("n"), F.col("n_te")
+    pairs = paired(texts, least_bytes).groupBy("entity", "n", "term").agg(F.count("*").alias("n_te")).where((n_te >= least_docs) & (n_e < total))
+    seen = texts.select(F.explode(words(F.col("text"), least_bytes)).alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    most = n_te * F.pow(F.lit(total) / n_e, F.lit(1 - generalise_at)) + 1e-6
+    pairs = saved(pairs.join(seen, "term").where(F.col("n_seen") <= most).drop("n_seen"))
     wanted = saved(pairs.select("term").distinct())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), F.explode(words(F.col("text"), least_bytes)).alias("term"))
-    by_term = every.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    information = F.log2(F.lit(total) / F.col("n"))
-    together = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n")))
-    scored = pairs.join(by_term, "term").where(information > 0)
-    terms = saved(scored.select("entity", "term", (together / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
+    scored = pairs.join(term_counts(df, text_col, wanted, least_bytes), "term")
+    together = F.log2(F.lit(total) * n_te / (F.col("n_t") * n_e))
+    terms = saved(scored.select("entity", "term", (together / F.log2(F.lit(total) / n_e)).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
     discard(pairs, wanted)
     return terms
 

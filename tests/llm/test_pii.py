@@ -1,11 +1,16 @@
 """Personal data against a plain Python version."""
 
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
+import regex
 
-from paperloom.llm import entry
+from paperloom.llm import entry, pii
 from paperloom.llm.pii import find_pii
 
 BASE = {
@@ -85,3 +90,101 @@ def test_address_with_a_hyphen_after_the_at_sign(spark):
     assert plain(text) == [("email", 0, 8)]
     (row,) = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [(s.kind, s.start, s.end) for s in row.spans] == plain(text) and row.sanitized == "[EMAIL]"
+
+
+def blank(text):
+    chars = list(text)
+    for _, a, b in plain(text):
+        chars[a:b] = " " * (b - a)
+    return "".join(chars)
+
+
+def key(text, span):
+    kind, a, b = span
+    return kind + ":" + (re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower())
+
+
+def plain_spans(rows, least_docs=3, least_bytes=3, generalise_at=0.8, remove_at=0.95):
+    """All spans of each text, by counting in dictionaries."""
+    texts = {t or "" for _, t in rows}
+    terms = lambda t: {w for w in regex.findall(r"[\p{L}\p{N}\p{M}]+", t.lower()) if len(w.encode()) >= least_bytes}
+    of_entity = Counter(e for t in texts for e in {key(t, s) for s in plain(t)})
+    of_term = Counter(w for t in texts for w in terms(t))
+    pairs = Counter((e, w) for t in texts for e in {key(t, s) for s in plain(t)} for w in terms(blank(t)))
+    found = {}
+    for (e, w), n in pairs.items():
+        information = math.log2(len(texts) / of_entity[e])
+        if n >= least_docs and information > 0:
+            disclosure = math.log2(len(texts) * n / (of_term[w] * of_entity[e])) / information
+            if disclosure >= generalise_at:
+                found.setdefault(e, {})[w] = disclosure
+    out = {}
+    for t in texts:
+        strength = {}
+        for e in {key(t, s) for s in plain(t)}:
+            for w, d in found.get(e, {}).items():
+                strength[w] = max(strength.get(w, 0), d)
+        more = []
+        for m in regex.finditer(r"[\p{L}\p{N}\p{M}]+", blank(t)):
+            if (d := strength.get(m[0].lower())) is not None:
+                more.append(("term" if d >= remove_at else "name" if regex.match(r"\p{Lu}", m[0]) else "word", m.start(), m.end()))
+        out[t] = plain(t) + sorted(more)
+    return out
+
+
+def written(text, spans):
+    """text with the spans replaced, one after the other."""
+    out, at = "", 0
+    for a, b, kind in sorted((a, b, k) for k, a, b in spans):
+        if a >= at:
+            out += text[at:a] + ("" if kind == "term" else f"[{kind.upper()}]")
+        at = max(at, b)
+    return out + text[at:] if spans else text
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    names, filler = ["Kim", "李明", "emp4711", "Zorblatt", "Éva", "of"], [f"word{k}" for k in range(12)]
+    entities = [f"{c}@corp.example" for c in "abc"] + ["10.0.0.7", "+49 30 1234567", "4111 1111 1111 1111"]
+    rows = []
+    for k in range(150):
+        own = [rng.choice(filler) for _ in range(rng.randint(2, 9))]
+        if rng.random() < 0.6:
+            j = rng.randrange(len(entities))
+            own = own + [entities[j], names[j] if rng.random() < 0.8 else rng.choice(names)]
+            if rng.random() < 0.2:
+                own.append(rng.choice(entities))
+            rng.shuffle(own)
+        elif rng.random() < 0.2:
+            own.append(rng.choice(names))
+        rows.append((k, " ".join(own)))
+    return rows + [(200, None), (201, ""), (None, rows[0][1]), (202, rows[1][1]), (1, rows[1][1])]
+
+
+@pytest.mark.parametrize("seed, small", [(1, 1_000_000), (2, 0)])
+def test_all_spans_against_plain_counts(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(pii, "SMALL_TERMS", small)
+    rows = corpus(seed)
+    want = plain_spans(rows)
+    assert sum(s[0] not in BASE for spans in want.values() for s in spans) > 20
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    show = lambda i, spans, text: repr((i, spans, text))
+    assert sorted(show(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans], r.sanitized) for r in got) == sorted(show(i, want[t or ""], written(t or "", want[t or ""])) for i, t in rows)
+
+
+def test_rows_written_twice_change_nothing(spark):
+    rows = corpus(3)
+    once, twice = (find_pii(spark.createDataFrame(rows * n, "doc_id long, text string")).collect() for n in (1, 2))
+    show = lambda r: repr((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans], r.sanitized))
+    assert sorted(map(show, once * 2)) == sorted(map(show, twice))
+
+
+def test_a_text_of_many_spans(spark):
+    rng = random.Random(7)
+    text = " ".join(rng.choice(["4111 1111 1111 1111,", "1.2.3.4", "é@b.cc", "x@b.cc", "1234", "+49 301234567;"]) for _ in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, "x@b.cc y"), (3, "x@b.cc")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in find_pii(df).collect()}
+    assert time.time() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got[1].spans if s.kind in BASE] == plain(text)
+    assert got[1].sanitized == written(text, [(s.kind, s.start, s.end) for s in got[1].spans])
