@@ -11,12 +11,13 @@ they are joined by their literal words, values included. A document is contamina
 windows cover at least `share` of the item's template windows, or of all its windows.
 
 A Bloom filter of the benchmark's windows, of fixed size, is broadcast so that only windows
-likely to join leave the scan; the join itself is exact on 64-bit hashes, then on the template's words.
+likely to join leave the scan; the join itself is exact, on 64-bit hashes and the window's canonical words.
 
-Defined results: null text counts as empty and matches nothing; items made of numbers and units alone, without
-one other word, are not searched for; rows with the same id are judged
-each by its own text, and the id is contaminated if one is; an empty benchmark keeps every document; extra columns
-pass through `drop_contaminated`.
+Defined results: null text counts as empty and matches nothing; items of fewer than WINDOW words, none of them but
+numbers and units, are not searched for, since any table of numbers would hold them; longer ones are, by their
+literal words; every row of documents, and every row of items, is judged by its own text, also without an id, and an id
+is contaminated if one of its rows is; a text of any length is searched whole; an empty benchmark keeps every document,
+an empty table of documents gives an empty result; extra columns pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
-from .shared import bloom_filter, in_filter
+from .shared import bloom_filter, in_filter, saved
 
 WINDOW, PLAIN_WORDS = 8, 4
 SPACE = " \t\n\r\x0b\x0c"
@@ -60,6 +61,11 @@ def slot_value(word: str) -> str:
     return (core.rstrip("-").strip(AROUND) or word).lower()
 
 
+def core(word: str) -> str:
+    """A word without the signs around it."""
+    return word.strip(AROUND + "%$-") or word
+
+
 class Words(dict):
     """word -> its row in rows: hash of the plain form, kind, capitalised, ends a sentence."""
 
@@ -68,10 +74,10 @@ class Words(dict):
         self.rows: list[tuple[int, int, bool, bool]] = []
 
     def __missing__(self, word: str) -> int:
-        core = word.strip(AROUND + "%$-") or word
-        low = core.lower()
-        kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else PLAIN
-        self.rows.append((xxhash.xxh3_64_intdigest(low), kind, core[:1].isupper() and not (len(core) > 1 and core.isupper()), word[-1] in ".!?:|\"”"))
+        bare = core(word)
+        low = bare.lower()
+        kind = NUM if NUMBER.match(bare) else UNIT if low in UNITS else PLAIN
+        self.rows.append((xxhash.xxh3_64_intdigest(low), kind, bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()), word[-1] in ".!?:|\"”"))
         self[word] = len(self.rows) - 1
         return self[word]
 
@@ -132,16 +138,24 @@ def windows(hashes: np.ndarray, kind: np.ndarray, starts: np.ndarray, size: int)
     return at, h[at]
 
 
+def with_key(df: DataFrame) -> DataFrame:
+    """(doc_id, text, key) of (doc_id, text): the key tells rows of one id, and rows without one, apart by their text."""
+    return df.withColumn("key", F.xxhash64("text"))
+
+
 def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame:
-    """(id, pos, size, h, literal, slots) of the windows of (doc_id, text); sizes None: of items, WINDOW or a short text's own length."""
+    """(id, key, pos, size, h, literal, form, slots) of the windows of (doc_id, text, key); sizes None: of items, WINDOW or a short text's own length.
+
+    form is the window's canonical words, slots are the values in the place of its numbers, units and names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         cache = Words()
         bits = None if bloom is None else bloom.value
         for batch in batches:
-            for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for rows, texts in runs_of_chars(list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())), batch.column(1).to_pylist()):
                 words, starts, hashes, kind, plain, literal = canonical(texts, cache)
-                out = {"id": [], "pos": [], "size": [], "h": [], "literal": [], "slots": []}
+                out = {"id": [], "key": [], "pos": [], "size": [], "h": [], "literal": [], "form": [], "slots": []}
                 lengths = np.diff(starts)
                 unnamed = np.where(kind == NAME, PLAIN, kind)
                 named = np.concatenate([[0], np.cumsum(kind == NAME)])
@@ -155,46 +169,63 @@ def window_rows(df: DataFrame, sizes: list[int] | None, bloom=None) -> DataFrame
                         if sizes is None and size < WINDOW:
                             keep &= lengths[text] == size
                         if sizes is None and kinds is None:
-                            keep &= wordy[text]
+                            keep &= wordy[text] | (lengths[text] >= WINDOW)
                         if bits is not None:
                             keep &= in_filter(bits, h)
                         at, h, text = at[keep], h[keep], text[keep]
-                        out["id"] += [ids[k] for k in text.tolist()]
+                        out["id"] += [rows[k][0] for k in text.tolist()]
+                        out["key"] += [rows[k][1] for k in text.tolist()]
                         out["pos"] += (at - starts[text]).tolist()
                         out["size"] += [size] * len(at)
                         out["h"] += h.view(np.int64).tolist()
                         out["literal"] += [kinds is None] * len(at)
+                        out["form"] += [" ".join(core(words[k]).lower() if kinds is None or not kinds[k] else SLOT_NAMES[kinds[k]] for k in range(a, a + size)) for a in at.tolist()]
                         out["slots"] += [[] if kinds is None else [slot_value(words[k]) for k in range(a, a + size) if kinds[k]] for a in at.tolist()]
                 yield out
 
-    return map_arrow(df, run, struct("id long, pos int, size int, h long, literal boolean, slots array<string>"))
+    return map_arrow(df.select("doc_id", "text", "key"), run, struct("id long, key long, pos int, size int, h long, literal boolean, form string, slots array<string>"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, n_windows, covered) of each document and item with enough consistent windows."""
-    items = window_rows(id_and_text(benchmark, item_col, item_text_col).where("doc_id is not null"), None).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", "literal", F.col("slots").alias("item_slots"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_template"))
+def judged_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, share: float) -> DataFrame:
+    """(doc_id, key, item_id, n_windows, covered) of each document row, told by its id and its text's key, and item with enough consistent windows."""
+    items = window_rows(with_key(id_and_text(benchmark, item_col, item_text_col)), None)
+    items = saved(items.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "size", "h", "literal", "form", F.col("slots").alias("item_slots")))
+    totals = items.groupBy("item_id", "item_key").agg(F.countDistinct("item_pos").alias("n_all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_template"))
+    totals = totals.select(F.col("item_id").alias("_item_id"), F.col("item_key").alias("_item_key"), "n_all", "n_template")
     sizes = sorted({r["size"] for r in items.select("size").distinct().collect()})  # at most WINDOW values
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(items))
-    found = window_rows(id_and_text(docs, id_col, text_col).where("doc_id is not null"), sizes, bloom)
-    pairs = found.join(items, ["h", "size", "literal"]).where(F.size("slots") == F.size("item_slots"))
+    found = window_rows(with_key(id_and_text(docs, id_col, text_col)), sizes, bloom).withColumnRenamed("id", "doc_id")
+    pairs = found.join(items, ["h", "size", "literal", "form"]).where(F.size("slots") == F.size("item_slots"))
     # A slot value of the item and the document's in its place, once for each document, item and place of the item.
-    shift = F.col("pos") - F.col("item_pos")
-    runs = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", shift.alias("shift")).agg(
+    pair = ["doc_id", "key", "item_id", "item_key"]
+    runs = pairs.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("places"),
         F.collect_set(F.when(~F.col("literal"), F.col("item_pos"))).alias("template_places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("slots"),
     )
     one_to_one = (F.size("slots") == F.size(F.array_distinct(F.col("slots.i")))) & (F.size("slots") == F.size(F.array_distinct(F.col("slots.d"))))
     distinct_places = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
-    covered = runs.where(one_to_one).groupBy("doc_id", "item_id").agg(distinct_places("places").alias("all"), distinct_places("template_places").alias("template"))
+    covered = runs.where(one_to_one).groupBy(*pair).agg(distinct_places("places").alias("all"), distinct_places("template_places").alias("template"))
     # Other values leave only the templates; a copy of a text with few of them shows in all windows.
     by_template = (F.col("n_template") > 0) & (F.col("template") >= F.lit(share) * F.col("n_template"))
-    judged = covered.join(totals, "item_id").where(by_template | (F.col("all") >= F.lit(share) * F.col("n_all")))
-    return judged.select("doc_id", "item_id", F.when(by_template, F.col("n_template")).otherwise(F.col("n_all")).alias("n_windows"), F.when(by_template, F.col("template")).otherwise(F.col("all")).alias("covered"))
+    judged = covered.join(totals, F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_key") == F.col("_item_key")))
+    judged = judged.where(by_template | (F.col("all") >= F.lit(share) * F.col("n_all")))
+    return judged.select("doc_id", "key", "item_id", F.when(by_template, F.col("n_template")).otherwise(F.col("n_all")).alias("n_windows"), F.when(by_template, F.col("template")).otherwise(F.col("all")).alias("covered"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that no benchmark item contaminates."""
-    gone = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, n_windows, covered) of each id and item with enough consistent windows in one of the id's rows; of several the most covered."""
+    judged = judged_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, share)
+    most = F.max(F.struct((F.col("covered") / F.col("n_windows")).alias("share"), "covered", "n_windows")).alias("m")
+    return judged.groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", "m.n_windows", "m.covered")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.5
+) -> DataFrame:
+    """The rows of docs whose id no benchmark item contaminates, and rows without an id whose text none does."""
+    judged = judged_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, share)
+    gone = judged.select(F.col("doc_id").alias("_gone"), F.when(F.col("doc_id").isNull(), F.col("key")).alias("_gone_key")).distinct()
+    own = docs[id_col].cast("long")
+    own_key = F.when(own.isNull(), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    return docs.join(gone, own.eqNullSafe(gone["_gone"]) & own_key.eqNullSafe(gone["_gone_key"]), "left_anti")

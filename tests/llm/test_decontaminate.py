@@ -1,7 +1,11 @@
 """Decontamination: exact, edited and re-parameterised items; clean documents."""
 
 import random
+from collections import defaultdict
 
+import pytest
+
+from paperloom.llm import decontaminate as dec
 from paperloom.llm import entry
 from paperloom.llm.decontaminate import drop_contaminated, find_contamination
 
@@ -37,7 +41,7 @@ def test_items_are_found_whole_and_with_other_values(spark):
         (None, item),
         (18, item.upper().lower() + " " + " ".join(PAD.split() * 5000)),
     ]
-    assert found(spark, docs) == {(10, 1), (11, 1), (15, 2), (18, 1)}
+    assert found(spark, docs) == {(10, 1), (11, 1), (15, 2), (16, 5), (18, 1), (None, 1)}
 
 
 def test_inconsistent_slots_do_not_match(spark):
@@ -52,10 +56,94 @@ def test_empty_tables(spark):
 
 
 def test_drop_keeps_columns_and_the_rest(spark):
-    d = spark.createDataFrame([(1, ITEMS[0][1], 5), (2, PAD, 6), (2, PAD, 6), (None, ITEMS[0][1], 7)], "doc_id long, text string, _gone int")
-    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    d = spark.createDataFrame([(1, ITEMS[0][1], 5), (1, PAD, 5), (2, PAD, 6), (2, PAD, 6), (None, ITEMS[0][1], 7), (None, PAD, 8), (None, None, 9)], "doc_id long, text string, _gone int")
+    b = spark.createDataFrame([*ITEMS, (None, "an item that has no number of its own but is searched for")], "item_id long, text string")
     kept = drop_contaminated(d, b)
-    assert kept.columns == d.columns and sorted(r["_gone"] for r in kept.collect()) == [6, 6, 7]
+    assert kept.columns == d.columns and sorted(r["_gone"] for r in kept.collect()) == [6, 6, 8, 9]
+    more = d.select("doc_id", "_gone").limit(1).selectExpr("3L as doc_id", "'We saw an item that has no number of its own but is searched for, today' as text", "_gone")
+    assert drop_contaminated(more, b).count() == 0
+
+
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark):
+    item = ITEMS[0][1]
+    assert found(spark, [(1, item), (1, item.replace("240", "99"))]) == {(1, 1)}  # together their values are not one to one
+    words = PAD.split()  # 20 plain words, 13 windows
+    assert found(spark, [(1, " ".join(words[:11])), (1, " ".join(words[9:]))], [(1, PAD)]) == set()  # 4 windows each, 8 together
+    assert found(spark, [(1, item)] * 3, ITEMS * 2) == {(1, 1)}
+
+
+def plain_windows(text, size):
+    """(literal, form, slot values) of the window at each position."""
+    kinds, lows, words = [], [], (text or "").split()
+    for k, word in enumerate(words):
+        bare = dec.core(word)
+        kind = 1 if dec.NUMBER.match(bare) else 2 if bare.lower() in dec.UNITS else 0
+        capital = bare[:1].isupper() and not (len(bare) > 1 and bare.isupper())
+        if kind == 0 and capital and k and words[k - 1][-1] not in '.!?:|"”':
+            kind = 3
+        kinds.append(kind)
+        lows.append(bare.lower())
+    out = []
+    for a in range(len(words) - size + 1):
+        own, least = range(a, a + size), min(dec.PLAIN_WORDS, size)
+        forms = []
+        for named in (True, False):
+            slot = [kinds[k] if named or kinds[k] != 3 else 0 for k in own]
+            if slot.count(0) >= least:
+                forms.append((False, tuple(dec.SLOT_NAMES[x] if x else lows[k] for x, k in zip(slot, own)), tuple(dec.slot_value(words[k]) for x, k in zip(slot, own) if x)))
+        if sum(kinds[k] in (0, 3) for k in own) < least:
+            forms.append((True, tuple(lows[k] for k in own), ()))
+        out.append(set(forms))
+    return out, any(k in (0, 3) for k in kinds)
+
+
+def plain(docs, items, share=0.5):
+    hits = set()
+    for item_id, item in set(items):
+        size = min(dec.WINDOW, len((item or "").split()))
+        if not size:
+            continue
+        wanted, wordy = plain_windows(item, size)
+        if not wordy and size < dec.WINDOW:
+            wanted = [{f for f in forms if not f[0]} for forms in wanted]
+        n_all, n_template = sum(map(bool, wanted)), sum(any(not f[0] for f in forms) for forms in wanted)
+        for doc_id, text in set(docs):
+            own, _ = plain_windows(text, size)
+            runs = defaultdict(lambda: (set(), set(), set()))
+            for a, forms in enumerate(own):
+                for b, theirs in enumerate(wanted):
+                    for literal, form, values in forms:
+                        for l2, f2, v2 in theirs:
+                            if (literal, form, len(values)) == (l2, f2, len(v2)):
+                                every, template, slots = runs[a - b]
+                                every.add(b)
+                                template |= set() if literal else {b}
+                                slots |= set(zip(v2, values))
+            every, template = set(), set()
+            for e, t, slots in runs.values():
+                if len({i for i, _ in slots}) == len(slots) == len({d for _, d in slots}):
+                    every, template = every | e, template | t
+            if (n_template and len(template) >= share * n_template) or (every and len(every) >= share * n_all):
+                hits.add((doc_id, item_id))
+    return hits
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["the", "train", "river", "of", "costs", "travels", "to", "Paris", "Rome", "Lyon", "NASA", "km", "kg", "hours"]
+    word = lambda: rng.choice(vocabulary) if rng.random() < 0.75 else str(rng.randint(1, 30)) + rng.choice(["", "%", ".5", ",", ".", "th"])
+    text = lambda n: " ".join(rng.choice(["", "", "(", "**"]) + word() + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+    items = [(k, text(rng.randint(1, 22))) for k in range(14)] + [(None, text(12)), (3, text(9))]
+    docs = []
+    for k in range(60):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            j = rng.randrange(len(own))
+            own[j] = rng.choice([str(rng.randint(1, 30)), word(), own[j].lower(), own[j] + ","])
+        cut = rng.randint(0, len(own) // 3)
+        docs.append((rng.choice([k, k, k // 2, None]), f"{text(rng.randint(0, 9))} {' '.join(own[cut:])} {text(rng.randint(0, 9))}"))
+    assert found(spark, docs, items) == plain(docs, items)
 
 
 def test_random_prose_is_clean(spark):
