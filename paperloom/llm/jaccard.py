@@ -11,7 +11,8 @@ its transpose as far as size bounds leave anything to add up:
    the holders of a very common n-gram but with the slices that have it.
 3. Among the rest a pair that links shares an n-gram within the first size - ceil(threshold * size) + 1 of
    both sets, in an order that puts rare n-grams first (by a counter array of fixed size, then by hash: any
-   order is right, a good one proposes little). The holders of each such n-gram join one candidate group.
+   order is right, a good one proposes little). The holders of each such n-gram join one candidate group: first
+   within a slice of documents, of which then only the smallest holder is sent.
 4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Products are exact, a
    column block at a time; pairs below what their sizes ask for are discarded, and a product yields a spanning
    forest of its links instead of the links themselves. First every tile is multiplied with itself and the
@@ -20,8 +21,8 @@ its transpose as far as size bounds leave anything to add up:
 
 So nothing is ever a row for each pair: classes, entries, tiles and forests are linear in the documents. A large
 group of near copies is one component after the first products, whose number is that of its tiles. Where a group
-falls apart, with m documents beyond its largest component and t tiles, m / TILE * t more products of bounded
-tiles are needed. Components of the forests are the result.
+falls apart, the m documents beyond its largest component meet all n of it, in m * n / (WIDE * TILE) ** 2 products of
+tiles WIDE times as large. Components of the forests are the result.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than n words
 has one n-gram, the whole sequence. Defined results: null, empty and blank texts have no n-grams and link
@@ -43,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
-from .shared import bloom_filter, connected_components, discard, held_by_several, in_filter, salted, saved, spread_join
+from .shared import bloom_filter, connected_components, discard, in_filter, saved, spread_join
 
 #: N-grams of a column block, about.
 BLOCK = 3_000_000
 #: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
 TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 4096
+#: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams whose holders are linked before they are sent.
+WIDE, ENTRIES = 4, 2_000_000
 #: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
 CELLS, SHARD = 1 << 18, 16_384
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -245,22 +248,39 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, cells: np.ndarray, p: int, q: int) -> DataFrame:
-    """(doc_id, h): the n-grams of which a linked pair shares one."""
+    """(h, a, b): the n-grams of which a linked pair shares one. Where h is null, documents a and b share one; else b is null and a holds h.
+
+    Of the documents that a slice of about ENTRIES n-grams finds to hold one, only the smallest is sent as its holder.
+    """
     sent = sets.sparkSession.sparkContext.broadcast(cells)
 
+    def combined(ids: list[np.ndarray], found: list[np.ndarray]):
+        h, own = np.concatenate(found), np.concatenate(ids)
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        least = own[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
+        yield {"h": pa.array(h[first].view(np.int64)), "a": pa.array(own[first]), "b": pa.nulls(int(first.sum()), pa.int64())}
+        yield {"h": pa.nulls(len(pairs), pa.int64()), "a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())}
+
     def run(batches: Iterator[pa.RecordBatch]):
+        ids, found, n = [], [], 0
         for batch in batches:
-            ids, found = [], []
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.frombuffer(x, "<u8")
                 keep = len(h) + (-len(h) * p) // q + 1  # size - ceil(size * p / q) + 1
                 order = np.argsort(sent.value[(h % np.uint64(CELLS)).astype(np.int64)], kind="stable")[:keep]
                 found.append(h[order])
                 ids.append(np.full(len(order), doc_id, np.int64))
-            if ids:
-                yield {"doc_id": pa.array(np.concatenate(ids)), "h": pa.array(np.concatenate(found).view(np.int64))}
+                n += len(order)
+                if n >= ENTRIES:
+                    yield from combined(ids, found)
+                    ids, found, n = [], [], 0
+        if ids:
+            yield from combined(ids, found)
 
-    return map_arrow(sets.select("doc_id", "set"), run, struct("doc_id long, h long"))
+    return map_arrow(sets.select("doc_id", "set"), run, struct("h long, a long, b long"))
 
 
 def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -328,9 +348,9 @@ def products(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFrame:
     return rows.groupBy("label", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def tiles(rows: DataFrame, into: str) -> DataFrame:
+def tiles(rows: DataFrame, into: str, wide: int = 1) -> DataFrame:
     """rows (node, label, size) with `into`, the tile of the row in its label, and its number of tiles in `into`_n."""
-    counts = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias(f"{into}_n"))
+    counts = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / (wide * TILE)), F.ceil(F.sum("size") / (wide * TILE_GRAMS))).cast("int").alias(f"{into}_n"))
     return spread_join(rows, counts, ["label"], "node").withColumn(into, F.pmod(F.xxhash64("node"), F.col(f"{into}_n")).cast("int"))
 
 
@@ -338,31 +358,34 @@ def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> Data
     """(node, label): the components of the links within candidate groups (node, label) of several documents."""
     sized = groups.join(sets.select(F.col("doc_id").alias("node"), "size"), "node").select("node", "label", "size")
     dealt = saved(tiles(sized, "tile"))
+    one = lambda n: F.lit(n).alias
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias
     # Every tile meets itself and the first tile. Only ids are dealt by label; the sets join by id.
-    own = dealt.select(F.col("node").alias("doc_id"), "label", F.lit(0).alias("i"), F.col("tile").alias("j"), F.lit(0).alias("side"))
-    first = dealt.where("tile = 0 and tile_n > 1").select(F.col("node").alias("doc_id"), "label", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("tile_n") - 1)).alias("j"), F.lit(1).alias("side"))
+    node = F.col("node").alias("doc_id")
+    own = dealt.select(node, "label", one(0)("i"), F.col("tile").alias("j"), one(0)("side"))
+    first = dealt.where("tile = 0 and tile_n > 1").select(node, "label", one(0)("i"), each("tile_n")("j"), one(1)("side")).where("j > 0")
     links = saved(products(sets, own.unionByName(first), p, q))
     parts = connected_components(links)
-    # What is not of the largest component of a group of several tiles meets the other tiles of the group.
-    if dealt.where("tile_n > 1").isEmpty():
+    several = dealt.where("tile_n > 1").select("node", "label", "size")
+    if several.isEmpty():
         discard(dealt)
         return parts
-    placed = dealt.where("tile_n > 1").join(parts.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    # What is not of the largest component of a group of several tiles meets all of the group.
+    placed = several.join(parts.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = placed.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("largest"))
-    placed = spread_join(placed, largest, ["label"], "node")
-    others = saved(tiles(placed.where("part <> largest").select("node", "label", "size"), "other"))
+    others = saved(tiles(spread_join(placed, largest, ["label"], "node").where("part <> largest").select("node", "label", "size"), "other", WIDE))
     if others.isEmpty():
         discard(dealt, others)
         return parts
-    other_n = others.select("label", "other_n").distinct()
-    many = spread_join(others, dealt.select("label", "tile_n").distinct(), ["label"], "node")
-    left = many.select(F.col("node").alias("doc_id"), "label", F.col("other").alias("i"), F.explode(F.sequence(F.lit(1), F.col("tile_n") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = spread_join(dealt.where("tile > 0"), other_n, ["label"], "node").where("other_n is not null").select(F.col("node").alias("doc_id"), "label", F.explode(F.sequence(F.lit(0), F.col("other_n") - 1)).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
+    whole = saved(tiles(spread_join(several, others.select("label", "other_n").distinct(), ["label"], "node").where("other_n is not null"), "whole", WIDE))
+    many = spread_join(others, whole.select("label", "whole_n").distinct(), ["label"], "node")
+    left = many.select(node, "label", F.col("other").alias("i"), each("whole_n")("j"), one(0)("side"))
+    right = whole.select(node, "label", each("other_n")("i"), F.col("whole").alias("j"), one(1)("side"))
     more = saved(products(sets, left.unionByName(right), p, q))
-    whole = connected_components(links.unionByName(more))
-    discard(dealt, others, links, more)
-    return whole
+    joined = connected_components(links.unionByName(more))
+    discard(dealt, others, whole, links, more)
+    return joined
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -376,12 +399,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), max(1, -(-n_docs // SHARD)))
     rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1"))
     sets = saved(ngram_sets(docs, n, rest))
-    entries = salted(prefixes(sets, rarity(sets), p, q), "doc_id")
-    proposed = entries.join(held_by_several(entries, ["h"], "doc_id"), ["h", "_salt"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    shared = saved(prefixes(sets, rarity(sets), p, q))
+    entries = shared.where("h is not null").select("h", "a")
+    held = entries.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("h", "b")
+    proposed = entries.join(held, "h").select("a", "b").unionByName(shared.where("h is null").select("a", "b"))
     final = saved(linked_in_groups(sets, connected_components(proposed), p, q))
-    discard(rest, sets)
+    discard(rest, sets, shared)
     members = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
-    return table.join(members, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
+    return spread_join(table, members, ["k1", "k2"], "doc_id").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from paperloom.llm import entry, jaccard
@@ -85,6 +86,28 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(((r.doc_id or 0), r._gone) for r in drop_near_copies(df).collect()) == [(0, "z"), (1, "y"), (3, "w")]
 
 
+def test_the_comparison_is_exact_beyond_single_precision():
+    a = np.array([2_800_006])
+    assert not jaccard.linked(np.array([[2_400_005]]), a, a, 3, 4)[0, 0] and jaccard.linked(np.array([[2_400_006]]), a, a, 3, 4)[0, 0]
+    n = 1 << 28
+    assert jaccard.linked(np.array([[n]]), np.array([n]), np.array([n // 3 * 4 + 1]), 3, 4)[0, 0] and not jaccard.linked(np.array([[n]]), np.array([n]), np.array([n // 3 * 4 + 2]), 3, 4)[0, 0]
+
+
+def test_groups_of_many_tiles_that_fall_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    common = " ".join(word() for _ in range(24))
+    texts = []
+    for _ in range(6):  # groups that share a passage, linked within and hardly across
+        own = common + " " + " ".join(word() for _ in range(12))
+        texts += copies(rng, own, 25, 1)
+    texts += [common + " " + " ".join(word() for _ in range(rng.randint(0, 9))) for _ in range(30)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    assert run(spark, rows) == plain(rows)
+
+
 def test_exact_bound(spark):
     words = [f"w{k}" for k in range(40)]
     a = " ".join(words[:11])  # 7 shingles
