@@ -10,15 +10,19 @@ The best k of the fit's sample are the first answers of a query and give it its
 
 The number of lists to probe is the fewest that find `target_recall` of the sample's own neighbours.
 
-Fit: centroids, probes and first answers come from at most `fit_rows` vectors, those with the smallest
-hash of their id. Every row is indexed. A list is cut into blocks of about `block_rows` vectors and its
-queries into chunks of `query_rows`, so the hottest list never meets one task whole; each pair of a block
-and a chunk is a task group of bounded size. The counts that the driver sees are one for each list.
+The number of lists is the square root of the number of vectors, so that lists and scans grow alike with the table.
+
+Fit: centroids, probes and first answers come from a sample, the vectors with the smallest hash of their id: PER_LIST
+of them for each list, `fit_rows` at least and `most_fit_rows` at most (beyond a billion vectors the lists stay as many as
+that bound trains). Every row is indexed, once: the index is kept in the shared folder. A list is cut into blocks of about
+`block_rows` vectors and its queries into chunks of `query_rows`, so the hottest list never meets one task whole; each pair
+of a block and a chunk is a task group of bounded size. The counts that the driver sees are one for each list.
 
 Defined results: vectors that are null, zero, of another length than the fit's commonest, or that hold null
 or non-finite components take no part, as queries or as candidates; equal scores are ordered by the
 smaller id; a query gets all candidates if there are fewer than k; rows with the same id count once, with
-their best score, and never answer that id; an empty table gives an empty result; other columns are ignored.
+their best score, and never answer that id; rows without an id take no part; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_io import map_arrow, struct
+from .shared import saved
 
+#: Sample vectors for each list, and centroids that are compared at a time.
+PER_LIST, AT_A_TIME = 8, 4096
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -63,12 +71,14 @@ def centroids(sample: np.ndarray, n_lists: int, seed: int, rounds: int = 8) -> n
 
 
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(vectors @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
+    half = 0.5 * (centres**2).sum(1)
+    parts = (np.argmax(vectors[a : a + AT_A_TIME] @ centres.T - half, axis=1) for a in range(0, len(vectors), AT_A_TIME))
+    return np.concatenate([*parts, np.empty(0, np.int64)])
 
 
 def calibrated_probes(sample: np.ndarray, centres: np.ndarray, k: int, target: float, asked: int = 512) -> int:
     """The fewest lists whose probing finds `target` of the sample's own k best neighbours of `asked` of its rows."""
-    queries = sample[:asked]
+    queries = sample[: max(1, min(asked, (1 << 23) // len(sample)))]
     scores = queries @ sample.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     k = min(k, len(sample) - 1)
@@ -154,7 +164,7 @@ def adaptive_scan(q_ids, queries, bounds, c_ids, cands, turn, k: int, z: float,
 
 
 def nearest_neighbours(
-    df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 16384,
+    df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 16384, most_fit_rows: int = 1 << 18,
     target_recall: float = 0.95, z: float = 1.5, block_rows: int = 4096, query_rows: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of df found for each row of queries."""
@@ -162,15 +172,19 @@ def nearest_neighbours(
     base, asked = pick(df).where("vec_id is not null"), pick(queries).where("vec_id is not null")
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample_rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
-    if not sample_rows:
+    rows = max(fit_rows, min(most_fit_rows, PER_LIST * round(math.sqrt(base.count()))))
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow()
+    if not drawn.num_rows:
         return empty
-    dim = Counter(len(r.v) for r in sample_rows).most_common(1)[0][0]
-    sample_rows = list({r.vec_id: r for r in sample_rows if len(r.v) == dim}.values())  # an id once: repeats are no neighbours, and make no bound
-    sample_ids, sample = np.array([r.vec_id for r in sample_rows]), np.array([r.v for r in sample_rows])
+    lengths = pc.list_value_length(drawn["v"])
+    dim = Counter(lengths.to_pylist()).most_common(1)[0][0]
+    drawn = drawn.filter(pc.equal(lengths, dim)).combine_chunks()
+    sample_ids, at = np.unique(drawn["vec_id"].to_numpy(), return_index=True)  # an id once: repeats are no neighbours, and make no bound
+    at = np.sort(at)
+    sample_ids, sample = drawn["vec_id"].to_numpy()[at], np.asarray(pc.list_flatten(drawn["v"])).reshape(-1, dim)[at]
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     total = base.count()
-    centres = centroids(sample, max(1, min(len(sample) // 8, round(math.sqrt(total)))), seed)
+    centres = centroids(sample, max(1, min(len(sample) // PER_LIST, round(math.sqrt(total)))), seed)
     turn = rotation(dim, seed)
     fitted = spark.sparkContext.broadcast((centres, turn, sample_ids[:4096], sample[:4096]))
 
@@ -182,7 +196,7 @@ def nearest_neighbours(
             ids, vectors = unpack(batch)
             yield {"vec_id": ids, "v": batch.column(1), "list": nearest(vectors, fitted.value[0]).astype(np.int32)}
 
-    index = map_arrow(base, assign, struct("vec_id long, v array<double>, list int"))
+    index = saved(map_arrow(base, assign, struct("vec_id long, v array<double>, list int")))
     # An id counts once, in the first of its lists, towards the ids that a query reaches.
     sizes, ids_of = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
     held = index.groupBy("vec_id", "list").count().groupBy("vec_id").agg(F.min("list").alias("home"), F.collect_list(F.struct("list", "count")).alias("own"))
@@ -212,12 +226,14 @@ def nearest_neighbours(
                 qi, found, scores = seeds(ids[a : a + 512], vectors[a : a + 512])
                 yield {"query_id": ids[a : a + 512][qi], "vec_id": found, "score": scores}
 
+    at_a_time = max(1, min(512, (1 << 22) // len(centres)))
+
     def probe(batches: Iterator):
         centres = fitted.value[0]
         for batch in batches:
             ids, vectors = unpack(batch)
-            for a in range(0, len(ids), 512):
-                own_ids, own = ids[a : a + 512], vectors[a : a + 512]
+            for a in range(0, len(ids), at_a_time):
+                own_ids, own = ids[a : a + at_a_time], vectors[a : a + at_a_time]
                 si, _, scores = seeds(own_ids, own)
                 bound = np.full(len(own), -np.inf)
                 full = np.bincount(si, minlength=len(own)) >= k
@@ -225,19 +241,17 @@ def nearest_neighbours(
                 bound[full] = lowest[full]
                 order = np.argsort(-(own @ centres.T), axis=1, kind="stable")
                 reached = np.cumsum(ids_of[order], axis=1) - ids_of[order]
-                rank = np.arange(order.shape[1])[None]
-                qi, at = np.nonzero((rank < probes) | (reached <= 2 * k))
-                lists = order[qi, at]
-                yield {"query_id": own_ids[qi], "bound": bound[qi], "v": [own[i] for i in qi], "list": lists.astype(np.int32)}
+                near = (np.arange(order.shape[1])[None] < probes) | (reached <= 2 * k)
+                yield {"query_id": own_ids, "bound": bound, "v": list(own), "lists": [o[n].astype(np.int32) for o, n in zip(order, near)]}
 
-    probed = map_arrow(asked, probe, struct("query_id long, bound double, v array<double>, list int"))
+    probed = saved(map_arrow(asked, probe, struct("query_id long, bound double, v array<double>, lists array<int>"))).withColumn("list", F.explode("lists")).drop("lists")
     asks = np.zeros(len(centres), np.int64)
     for r in probed.groupBy("list").count().collect():  # one row for each list
         asks[r["list"]] = r["count"]
     blocks, chunks = np.maximum(1, -(-sizes // block_rows)), np.maximum(1, -(-asks // query_rows))
     plan = spark.createDataFrame([(i, int(b), int(c)) for i, (b, c) in enumerate(zip(blocks, chunks))], "list int, blocks int, chunks int")
     left = (
-        probed.join(F.broadcast(plan), "list")  # at most sqrt(fit_rows) * 128 rows: one for each list
+        probed.join(F.broadcast(plan), "list")  # one row for each list: at most most_fit_rows / PER_LIST
         .select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"), "query_id", "bound", "v")
     )
     right = (
