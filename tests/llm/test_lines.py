@@ -43,3 +43,8 @@ def test_other_thresholds_and_empty(spark):
 def test_columns_pass_through(spark):
     df = spark.createDataFrame([(1, "a line of some text", "k1"), (2, "a line of some text", "k2")], "doc_id long, text string, keeper string")
     assert sorted((r.doc_id, r.text, r.keeper) for r in dedup_lines(df).collect()) == [(1, "a line of some text", "k1"), (2, "", "k2")]
+
+
+def test_a_line_of_a_third_of_all_documents(spark):
+    rows = [(k, "a line that very many documents hold\nown line of document " + str(k // 2)) if k % 3 == 0 else (k, f"another line of document {k}") for k in range(3000)]
+    assert run(spark, rows) == plain(rows)
