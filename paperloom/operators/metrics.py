@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a user is told about each kind of failure.
+#: What a user is told about each kind of failure, by how its error begins, and about any other.
 MESSAGES = {
     "unsupported format": "Only PDF files can be processed.",
     "file too large": "The file exceeds the size limit.",
@@ -16,11 +16,12 @@ MESSAGES = {
     "malformed XML": "The document could not be parsed.",
     "service": "The parsing service did not answer.",
 }
+OTHER_MESSAGE = "The document could not be processed."
 
 
 def error_message(error: Column) -> Column:
     """The message of an error by how it begins; null for no error, a general one for an unknown error."""
-    out = F.lit("The document could not be processed.")
+    out = F.lit(OTHER_MESSAGE)
     for start, message in MESSAGES.items():
         out = F.when(error.startswith(start), F.lit(message)).otherwise(out)
     return F.when(error.isNotNull(), out)

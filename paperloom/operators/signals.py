@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that announce an entity of a type, matched in any case.
+#: Phrases that announce an entity of a type, matched in any case. Nothing else depends on them.
 PATTERNS = {
     "fact": (r"\b(?:is|are) known to\b", r"\bhas been (?:shown|established)\b", r"\bprevious(?:ly)? (?:studies|reported)\b"),
     "hypothesis": (r"\bwe hypothesi[sz]e\b", r"\bwe propose that\b", r"\bmay (?:explain|cause|lead)\b"),

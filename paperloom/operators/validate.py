@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import FALLBACK_THRESHOLD, Settings, type_table
 from .keywords import array_items
 
-# Extra guidance by type.
+#: Extra guidance by type.
 GUIDANCE = {"method": "Accept only techniques that were applied.", "experiment": "Accept only work that was carried out.", "dataset": "Accept only named or described data."}
 
 

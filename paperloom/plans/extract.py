@@ -11,7 +11,7 @@ from ..operators.embed import Embedder, HashingEmbedder, embed_texts
 from ..operators.graph import KnowledgeGraph
 from ..operators.link import relationships
 from ..operators.models import ModelClient, RuleClient, call_model
-from ..operators.retrieve import retrieve_candidates
+from ..operators.retrieve import index_segments, retrieve_candidates
 from ..operators.sections import assemble_sections, section
 from ..operators.sentences import split_sections, with_segment_ids
 from ..sources import tei
@@ -34,7 +34,7 @@ def extract(raw: DataFrame, client: ModelClient | None = None, embedder: Embedde
     parsed = tei.guard(tei.parse_documents(raw)).where("error is null and reject is null")
     parsed = kept(parsed, folder, "documents")
     sections = kept(assemble_sections(tei.divisions(parsed), parsed), folder, "sections")
-    segments = kept(embed_texts(with_segment_ids(split_sections(sections)), embedder), folder, "segments")
+    segments = kept(index_segments(embed_texts(with_segment_ids(split_sections(sections)), embedder)), folder, "segments")
     papers = parsed.select("paper_id", "title", "abstract").join(section(sections, "introduction").withColumnRenamed("text", "introduction"), "paper_id", "left")
     asked = kept(call_model(kw.prompts(papers), client, temperature=0.1, max_tokens=300), folder, "keyword_answers")
     found = kw.explode_keywords(kw.parse_keywords(asked))

@@ -58,12 +58,13 @@ def graph(spark, sf_dir) -> KnowledgeGraph:
     return KnowledgeGraph(vertices, relationships(vertices))
 
 
-def a_result(spark, sf_dir) -> str:
-    """One id to look up: the smallest id of a result."""
-    return fx.entities(spark, sf_dir).where("type = 'result'").agg(F.min("id")).first()[0]
+def a_middle(spark, sf_dir) -> str:
+    """One id to look up: the smallest that an edge leaves and another reaches."""
+    e = graph(spark, sf_dir).edges
+    return e.select(F.col("source_id").alias("id")).intersect(e.select("target_id")).agg(F.min("id")).first()[0]
 
 
-ONE = "one AS (SELECT min(id) AS id FROM fx WHERE type = 'result')"
+ONE = "one AS (SELECT min(source_id) AS id FROM edges WHERE source_id IN (SELECT target_id FROM edges))"
 
 
 @query("token_sets", f"WITH {fx.ENTITY_SQL} SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens FROM fx")
@@ -138,9 +139,9 @@ def avg_degree(spark, sf_dir):
     return graph(spark, sf_dir).average_degree()
 
 
-@query("entity_lookup", f"WITH {fx.ENTITY_SQL}, {ONE} SELECT fx.* FROM fx JOIN one USING (id)")
+@query("entity_lookup", f"WITH {EDGES_SQL}, {ONE} SELECT fx.* FROM fx JOIN one USING (id)")
 def entity_lookup(spark, sf_dir):
-    return KnowledgeGraph(fx.entities(spark, sf_dir), None).entity(a_result(spark, sf_dir))
+    return KnowledgeGraph(fx.entities(spark, sf_dir), None).entity(a_middle(spark, sf_dir))
 
 
 @query("entities_by_type", f"WITH {fx.ENTITY_SQL} SELECT * FROM fx WHERE type = 'method'")
@@ -149,7 +150,7 @@ def entities_by_type(spark, sf_dir):
 
 
 def _incident(direction):
-    return lambda spark, sf_dir: graph(spark, sf_dir).incident(a_result(spark, sf_dir), direction).select(*EDGE_COLUMNS.split(", "))
+    return lambda spark, sf_dir: graph(spark, sf_dir).incident(a_middle(spark, sf_dir), direction).select(*EDGE_COLUMNS.split(", "))
 
 
 for _d, _where in {"in": "target_id = one.id", "out": "source_id = one.id", "both": "target_id = one.id OR source_id = one.id"}.items():
@@ -158,7 +159,7 @@ for _d, _where in {"in": "target_id = one.id", "out": "source_id = one.id", "bot
 
 @query("neighbors", f"WITH {EDGES_SQL}, {ONE} SELECT target_id AS id FROM edges, one WHERE source_id = one.id UNION SELECT source_id FROM edges, one WHERE target_id = one.id")
 def neighbors(spark, sf_dir):
-    return graph(spark, sf_dir).neighbors(a_result(spark, sf_dir))
+    return graph(spark, sf_dir).neighbors(a_middle(spark, sf_dir))
 
 
 @query("all_neighbors", f"WITH {EDGES_SQL} SELECT source_id AS id, target_id AS neighbor FROM edges UNION SELECT target_id, source_id FROM edges")
@@ -201,25 +202,30 @@ def text_preview(spark, sf_dir):
     return fx.entities(spark, sf_dir).select("doc_id", preview(F.col("text"), 50).alias("preview"))
 
 
-@query("cytoscape_elements", f"WITH {EDGES_SQL} SELECT paper_id, count(*) AS n FROM (SELECT paper_id FROM fx UNION ALL SELECT paper_id FROM edges) GROUP BY 1")
+@query(
+    "cytoscape_elements",
+    f"""WITH {EDGES_SQL}
+    SELECT paper_id, to_json({{'data': {{'id': id, 'label': substr(text, 1, 50), 'type': type, 'confidence': confidence}}}})::VARCHAR AS json FROM fx
+    UNION ALL SELECT paper_id, to_json({{'data': {{'source': source_id, 'target': target_id, 'label': relationship_type, 'confidence': confidence}}}})::VARCHAR FROM edges""",
+)
 def cytoscape_elements(spark, sf_dir):
-    return graph(spark, sf_dir).cytoscape().groupBy("paper_id").agg(F.count("json").alias("n"))
+    return graph(spark, sf_dir).cytoscape()
 
 
 @query(
     "result_export",
-    f"""WITH {EDGES_SQL}, v AS (SELECT paper_id, count(*) AS n_entities, count(DISTINCT type) AS n_types FROM fx GROUP BY 1), d AS (SELECT paper_id, count(*) AS n, round(sum(confidence), 6) AS total FROM edges GROUP BY 1)
-    SELECT paper_id, n_entities, n_types, coalesce(d.n, 0) AS n_relationships, coalesce(d.total, 0) AS total_confidence FROM v LEFT JOIN d USING (paper_id)""",
+    f"""WITH {EDGES_SQL}
+    SELECT 'entity' AS kind, paper_id, id AS a, source_section AS b, type, confidence, sha256(text) AS text FROM fx
+    UNION ALL SELECT 'relationship', paper_id, source_id, target_id, relationship_type, confidence, NULL FROM edges""",
 )
 def result_export(spark, sf_dir):
     """The exported JSON, read back."""
     from ..sources.results import parse_results, result_json
 
     back = parse_results(result_json(graph(spark, sf_dir).results()))
-    v = back.vertices.groupBy("paper_id").agg(F.count("*").alias("n_entities"), F.countDistinct("type").alias("n_types"))
-    e = back.edges.groupBy("paper_id").agg(F.count("*").alias("n_relationships"), F.round(F.sum("confidence"), 6).alias("total_confidence"))
-    joined = v.join(e, "paper_id", "left")
-    return joined.select("paper_id", "n_entities", "n_types", F.coalesce("n_relationships", F.lit(0)).alias("n_relationships"), F.coalesce("total_confidence", F.lit(0.0)).alias("total_confidence"))
+    v = back.vertices.select(F.lit("entity").alias("kind"), "paper_id", F.col("id").alias("a"), F.col("source_section").alias("b"), "type", "confidence", F.sha2("text", 256).alias("text"))
+    e = back.edges.select(F.lit("relationship").alias("kind"), "paper_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("relationship_type").alias("type"), "confidence", F.lit(None).cast("string").alias("text"))
+    return v.unionByName(e)
 
 
 def _case(values: dict, other) -> str:
@@ -234,11 +240,12 @@ def level_layout(spark, sf_dir):
     return layout.level_layout(fx.entities(spark, sf_dir))
 
 
-# Lines of a text whose words all fit the rule are counted by a fold in SQL too: the state is (lines, characters, words).
-WRAPPED = """list_reduce(list_prepend({{'n': 1, 'c': 0, 'w': 0}}, list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''), lambda x: {{'n': 0, 'c': length(x), 'w': 1}})),
-  lambda a, b: CASE WHEN a.w > 0 AND a.c + b.c + a.w > 25 THEN {{'n': a.n + 1, 'c': b.c, 'w': 1}} ELSE {{'n': a.n, 'c': a.c + b.c, 'w': a.w + 1}} END)"""
+# The lines of a text by a fold in SQL too: the state is the finished lines, the open one, its words' characters and its words.
+WRAPPED = """list_reduce(list_prepend({{'d': '', 'l': '', 'n': 1, 'c': 0, 'w': 0}}, list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''), lambda x: {{'d': '', 'l': x, 'n': 0, 'c': length(x), 'w': 1}})),
+  lambda a, b: CASE WHEN a.w > 0 AND a.c + b.c + a.w > 25 THEN {{'d': a.d || a.l || chr(10), 'l': b.l, 'n': a.n + 1, 'c': b.c, 'w': 1}}
+    ELSE {{'d': a.d, 'l': CASE WHEN a.w = 0 THEN b.l ELSE a.l || ' ' || b.l END, 'n': a.n, 'c': a.c + b.c, 'w': a.w + 1}} END)"""
 PLACED_SQL = f"""{EDGES_SQL}, wr AS (SELECT *, {WRAPPED.format("coalesce(text, '')")} AS s FROM fx),
-h AS (SELECT paper_id, id, type, {_case(COLUMN_X, 850)} AS x, greatest(80, (CASE WHEN s.w = 0 THEN 0 ELSE s.n END) * 16 + 40) AS height FROM wr),
+h AS (SELECT paper_id, id, type, s, {_case(COLUMN_X, 850)} AS x, greatest(80, (CASE WHEN s.w = 0 THEN 0 ELSE s.n END) * 16 + 40) AS height FROM wr),
 placed AS (SELECT *, 100 + coalesce(sum(height + 20) OVER (PARTITION BY paper_id, x ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM h)"""
 
 
@@ -262,22 +269,36 @@ def edge_geometry(spark, sf_dir):
     return layout.edge_geometry(layout.column_layout(g.vertices), g.edges).drop("colour")
 
 
+COLOUR = "CASE relationship_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in layout.COLOURS.items()) + " END"
+ESCAPED = """replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')"""
+
+
 @query(
     "svg_documents",
-    f"""WITH {PLACED_SQL}, v AS (SELECT paper_id, count(*) AS n_nodes, max(y + height + 20) + 150 AS canvas FROM placed GROUP BY 1), d AS (SELECT paper_id, count(*) AS n FROM edges GROUP BY 1)
-    SELECT paper_id, n_nodes, coalesce(d.n, 0) AS n_edges, CAST(canvas AS BIGINT) AS canvas FROM v LEFT JOIN d USING (paper_id)""",
+    f"""WITH {PLACED_SQL}, p AS (SELECT *, CASE WHEN type IN ({WIDE}) THEN 224 ELSE 200 END AS width FROM placed),
+    g AS (SELECT e.paper_id, source_id, target_id, relationship_type, a.x + a.width AS x1, a.y + a.height / 2::DOUBLE AS y1, b.x AS x2, b.y + b.height / 2::DOUBLE AS y2
+      FROM edges e JOIN p a ON a.paper_id = e.paper_id AND a.id = e.source_id JOIN p b ON b.paper_id = e.paper_id AND b.id = e.target_id),
+    ln AS (SELECT paper_id, id, x, y, unnest(string_split(s.d || s.l, chr(10))) AS line, generate_subscripts(string_split(s.d || s.l, chr(10)), 1) - 1 AS k FROM p WHERE s.w > 0),
+    tx AS (SELECT paper_id, id, string_agg('<text x="' || (x + 10) || '" y="' || CAST(y + 24 + k * 16 AS BIGINT) || '">' || {ESCAPED} || '</text>', '' ORDER BY k) AS body FROM ln GROUP BY 1, 2),
+    pieces AS (
+      SELECT paper_id, 0 AS layer, source_id || '|' || target_id || '|' || relationship_type AS ord, printf('<path d="M%.1f %.1f C%.1f %.1f %.1f %.1f %.1f %.1f" fill="none" stroke="%s"/>',
+        x1::DOUBLE, y1, x1 + (x2 - x1) / 2::DOUBLE, y1, x2 - (x2 - x1) / 2::DOUBLE, y2, x2::DOUBLE, y2, {COLOUR}) AS piece FROM g
+      UNION ALL SELECT paper_id, 1, id, '<rect x="' || x || '" y="' || CAST(y AS BIGINT) || '" width="' || width || '" height="' || height || '"/>' || coalesce(body, '') FROM p LEFT JOIN tx USING (paper_id, id)),
+    v AS (SELECT paper_id, CAST(max(y + height + 20) + 150 AS BIGINT) AS canvas FROM placed GROUP BY 1),
+    b AS (SELECT paper_id, count(*) AS n_pieces, string_agg(piece, chr(10) ORDER BY layer, ord, piece) AS body FROM pieces GROUP BY 1)
+    SELECT paper_id, n_pieces, sha256('<svg xmlns="http://www.w3.org/2000/svg" width="2400" height="' || canvas || '">' || chr(10) || body || chr(10) || '</svg>') AS svg FROM b JOIN v USING (paper_id)""",
 )
 def svg_documents(spark, sf_dir):
-    """What the drawings hold."""
+    """The drawings, by their digests."""
     g = graph(spark, sf_dir)
     svg = layout.svg_documents(g.vertices, g.edges)
-    count = lambda tag: F.size(F.split("svg", f"<{tag} ", -1)).cast("long") - 1
-    return svg.select("paper_id", count("rect").alias("n_nodes"), count("path").alias("n_edges"), F.regexp_extract("svg", r'height="(\d+)"', 1).cast("long").alias("canvas"))
+    return svg.select("paper_id", (F.size(F.split("svg", r"<(?=rect |path )", -1)) - 1).cast("long").alias("n_pieces"), F.sha2("svg", 256).alias("svg"))
 
 
-@query("wrap_text", f"WITH {PLACED_SQL} SELECT doc_id, (CASE WHEN s.w = 0 THEN 0 ELSE s.n END)::BIGINT AS n_lines FROM wr")
+@query("wrap_text", f"WITH {PLACED_SQL} SELECT doc_id, (CASE WHEN s.w = 0 THEN 0 ELSE s.n END)::BIGINT AS n_lines, sha256(s.d || s.l) AS lines FROM wr")
 def wrap_text(spark, sf_dir):
-    return fx.entities(spark, sf_dir).select("doc_id", F.size(wrap(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"))
+    lines = fx.entities(spark, sf_dir).select("doc_id", wrap(F.coalesce("text", F.lit(""))).alias("lines"))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines"))
 
 
 @query(

@@ -10,6 +10,7 @@ from ..operators import sections as sec
 from ..operators import sentences as sen
 from ..operators import validate as va
 from ..operators.embed import HashingEmbedder, embed_texts, embedding_metrics
+from ..operators.metrics import MESSAGES, OTHER_MESSAGE, describe, error_message, run_metrics
 from ..operators.models import call_cost
 from ..schemas import ENTITY_TYPES, HEADINGS, MAJOR_HEADINGS
 from ..sources import pages as pg
@@ -104,8 +105,8 @@ def embed_metrics(spark, sf_dir):
 
 HEADING_CASE = "CASE lower(trim(head)) " + " ".join(f"WHEN '{n}' THEN '{s}'" for s, names in HEADINGS.items() for n in names) + " END"
 MAJORS = ", ".join(f"'{m}'" for m in MAJOR_HEADINGS)
-DIVS_SQL = """d AS (SELECT source AS paper_id, doc_id AS div_pos, ['Introduction', 'Methods', 'Image analysis', 'Results', 'A finding', 'Discussion', 'Conclusions', NULL, 'Background'][CAST((doc_id // 20) % 9 AS INT) + 1] AS head,
-  CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS body FROM documents)"""
+DIVS_SQL = f"""d AS (SELECT {fx.PAPER_SQL} AS paper_id, doc_id * 2 + 1 AS div_pos, ['Introduction', 'Methods', 'Image analysis', 'Results', 'A finding', 'Discussion', 'Conclusions', NULL, 'Background'][CAST((doc_id // 20) % 9 AS INT) + 1] AS head, text AS body FROM documents
+  UNION ALL SELECT {fx.PAPER_SQL}, doc_id * 2, ['Results', 'Methods', 'Discussion'][CAST((doc_id // 3) % 3 AS INT) + 1], '' FROM documents WHERE doc_id % 3 = 0)"""
 
 
 @query("heading_lookup", f"WITH {DIVS_SQL} SELECT DISTINCT head, {HEADING_CASE} AS section FROM d")
@@ -125,6 +126,88 @@ def section_assembly(spark, sf_dir):
     return sec.assemble_sections(fx.divisions(spark, sf_dir))
 
 
+@query(
+    "section_accessor",
+    f"""WITH {DIVS_SQL}, h AS (SELECT paper_id, div_pos, regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') AS body, {HEADING_CASE} AS mapped, head FROM d)
+    SELECT paper_id, string_agg(body, chr(10) || chr(10) ORDER BY div_pos) AS text FROM h WHERE mapped = 'introduction' AND body <> '' GROUP BY 1""",
+)
+def section_accessor(spark, sf_dir):
+    """Introductions, of divisions among which no major one is empty, so that nothing is swallowed."""
+    return sec.section(sec.assemble_sections(fx.divisions(spark, sf_dir).where("div_pos % 2 = 1")), "Introduction")
+
+
+PARTS = "string_split(coalesce(text, ''), chr(10))"
+
+
+@query(
+    "document_scan",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'Paper ' || doc_id AS title, 'Ada ' || source || ';Max ' || lang AS authors, 'Institute ' || source || ';Institute ' || lang AS affiliations,
+      sha256(trim({PARTS}[1])) AS abstract, lang AS keywords, '2024-01-0' || (doc_id % 9 + 1) AS publication_date, '10.9/' || doc_id AS doi, CASE WHEN doc_id % 4 > 0 THEN CAST(least(doc_id % 4, 3) AS VARCHAR) END AS page_count,
+      2 * CAST(ceil(len({PARTS}) / 2) AS INT) + {WORDS.format('text')} AS word_count FROM documents""",
+)
+def document_scan(spark, sf_dir):
+    """Metadata of documents that were written as structured XML. Headings glue to the words after them, so words are counted without."""
+    parsed = tei.parse_documents(fx.documents_xml(spark, sf_dir)).where("error is null")
+    joined = lambda c: F.array_join(c, ";")
+    headless = F.aggregate("divs", F.lit(0), lambda n, d: n + word_count(d["head"]) + word_count(d["body"]))
+    return parsed.select("paper_id", "title", joined("authors").alias("authors"), joined("affiliations").alias("affiliations"), F.sha2("abstract", 256).alias("abstract"), joined("keywords").alias("keywords"), "publication_date", "doi", F.col("page_count").cast("string").alias("page_count"), headless.cast("long").alias("word_count"))
+
+
+@query(
+    "document_divisions",
+    f"""WITH d AS (SELECT doc_id, unnest({PARTS}) AS body, generate_subscripts({PARTS}, 1)::INT - 1 AS div_pos FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS paper_id, div_pos, CASE WHEN div_pos % 2 = 0 THEN 'Part ' || div_pos END AS head, sha256(trim(body)) AS body FROM d""",
+)
+def document_divisions(spark, sf_dir):
+    divs = tei.divisions(tei.parse_documents(fx.documents_xml(spark, sf_dir)))
+    return divs.select("paper_id", "div_pos", "head", F.sha2("body", 256).alias("body"))
+
+
+@query(
+    "document_references",
+    """SELECT CAST(doc_id AS VARCHAR) AS paper_id, k AS ref_pos, 'Work ' || doc_id || '.' || k AS title, 'Cited' AS authors, '20' || (10 + k) AS year, '10.1/' || doc_id || '.' || k AS doi
+    FROM documents, (SELECT unnest([0, 1, 2]) AS k) WHERE doc_id % 4 > k""",
+)
+def document_references(spark, sf_dir):
+    refs = tei.references(tei.parse_documents(fx.documents_xml(spark, sf_dir)))
+    return refs.select("paper_id", "ref_pos", "title", F.array_join("authors", ";").alias("authors"), "year", "doi")
+
+
+@query("embedding_cost", f"SELECT source, round(floor(sum({WORDS.format('text')}) * 1.3::DOUBLE) / 1e6 * 0.02::DOUBLE, 12) AS remote, 0.0::DOUBLE AS local FROM documents GROUP BY 1")
+def embed_cost(spark, sf_dir):
+    from ..operators.embed import embedding_cost, token_estimate
+
+    t = fx.table(spark, sf_dir, "documents").groupBy("source").agg(token_estimate(F.col("text")).alias("tokens"))
+    return t.select("source", F.round(embedding_cost(F.col("tokens"), local=False), 12).alias("remote"), embedding_cost(F.col("tokens")).alias("local"))
+
+
+@query(
+    "error_messages",
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '" + MESSAGES["unsupported format"] + "' WHEN page_id * 100000 > 10485760 THEN '" + MESSAGES["file too large"] + "' WHEN page_id % 5 = 0 THEN '" + MESSAGES["malformed XML"] + "' WHEN page_id % 7 = 0 THEN '" + OTHER_MESSAGE + "' END AS message FROM pages",
+)
+def messages(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.when(i % 3 == 0, F.lit("a.docx")).otherwise(F.lit("a.pdf"))
+    refused = tei.upload_check(name, i * 100000)["message"]
+    error = F.coalesce(refused, F.when(i % 5 == 0, F.lit("malformed XML: line 1")).when(i % 7 == 0, F.lit("something else")))
+    return fx.table(spark, sf_dir, "pages").select("page_id", error_message(error).alias("message"))
+
+
+@query(
+    "metrics_text",
+    f"""WITH c AS (SELECT conv_id, CASE WHEN role = 'assistant' THEN 'b' ELSE 'a' END AS phase, {WORDS.format('text')} AS n FROM conversations),
+    t AS (SELECT conv_id, sum(n)::BIGINT AS tokens, count(*) AS rows, count(DISTINCT phase) AS phases FROM c GROUP BY 1)
+    SELECT CAST(conv_id AS VARCHAR) AS paper_id, tokens, phases, printf('%d entities, %d relationships, %d tokens, $%.4f', rows, 0, tokens, tokens / 4::DOUBLE) AS text FROM t""",
+)
+def metrics_text(spark, sf_dir):
+    """Conversations as runs of two phases: what is asked and what is answered; every turn is an entity."""
+    turns = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("paper_id"), F.when(F.col("role") == "assistant", F.lit("b")).otherwise(F.lit("a")).alias("phase"), word_count(F.col("text")).alias("n"))
+    calls = turns.groupBy("paper_id", "phase").agg(F.count("*").alias("calls"), F.sum("n").alias("tokens"), (F.sum("n") / 4.0).alias("cost"))
+    edges = spark.createDataFrame([], "paper_id string")
+    made = run_metrics(turns, edges, calls)
+    return made.join(describe(made), "paper_id").select("paper_id", F.col("tokens").cast("long").alias("tokens"), F.size("phases").cast("long").alias("phases"), "text")
+
+
 PLAIN = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
 
@@ -182,8 +265,8 @@ def keyword_prompts(spark, sf_dir):
 
 @query(
     "parse_keywords",
-    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 1 + CASE WHEN trim(text) <> '' AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) <= 5 THEN 1 ELSE 0 END
-      WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END::BIGINT AS n FROM documents""",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN CASE WHEN trim(text) <> '' AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) <= 5 THEN trim(text) || '|' ELSE '' END || 'x'
+      WHEN 3 THEN 'one two|one two' WHEN 4 THEN 'in' ELSE '' END AS keywords FROM documents""",
 )
 def parse_keywords(spark, sf_dir):
     made = F.to_json(F.array("text"))
@@ -196,7 +279,7 @@ def parse_keywords(spark, sf_dir):
         .otherwise(F.lit('{"a": ["in"]}'))
     )
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", answer.alias("content"))
-    return kw.parse_keywords(docs).select("doc_id", F.size("keywords").cast("long").alias("n"))
+    return kw.parse_keywords(docs).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query(
