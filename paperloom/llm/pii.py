@@ -45,6 +45,8 @@ WORD = r"[A-Za-z0-9\p{L}\p{N}\p{M}]++"  # the first three only for speed
 KEY = ["k1", "k2"]
 #: Elements that a fold appends to one array, and terms that may be broadcast: some ten bytes each.
 BLOCK, SMALL_TERMS = 128, 1_000_000
+#: Parts of the corpus of which one tells common terms from rare ones.
+PARTS = 16
 
 
 def let(value: Column, use) -> Column:
@@ -183,32 +185,43 @@ def paired(texts: DataFrame, least_bytes: int) -> DataFrame:
     return texts.select(*KEY, "entities", F.explode(words(F.col("text"), least_bytes)).alias("term")).select(*KEY, "term", F.inline("entities"))
 
 
-def term_counts(df: DataFrame, text_col: str, wanted: DataFrame, least_bytes: int) -> DataFrame:
-    """(term, n_t): the texts that hold each wanted term; where there are many, also of others."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
+def holding(every: DataFrame, wanted: DataFrame, least_bytes: int) -> DataFrame:
+    """(term, n): the texts of every (k1, k2, text), each once, that hold a wanted term; where many are wanted, also others."""
     if wanted.count() <= SMALL_TERMS:  # terms leave the scan only if they are wanted
-        held = every.select(*KEY, F.explode(words(F.col("text"), least_bytes)).alias("term")).join(F.broadcast(wanted), "term", "left_semi").distinct()
+        held = every.select(*KEY, F.explode(words(F.col("text"), least_bytes)).alias("term")).join(F.broadcast(wanted.select("term")), "term", "left_semi").distinct()
     else:  # copies go first, then each task sums what it has of a term
         held = every.dropDuplicates(KEY).select(F.explode(words(F.col("text"), least_bytes)).alias("term"))
-    return held.groupBy("term").agg(F.count("*").alias("n_t"))
+    return held.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def term_counts(df: DataFrame, text_col: str, wanted: DataFrame, least_bytes: int) -> DataFrame:
+    """(term, n): the texts of the whole corpus that hold each wanted (term, most) of which no more than `most` do, and perhaps others.
+
+    Terms of which one part of the texts already holds more are common: they are not counted in all others. The result
+    is the same without that.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
+    part = holding(every.where(F.pmod("k1", F.lit(PARTS)) == 0), wanted, least_bytes)
+    rare = saved(wanted.join(part, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most")).select("term"))
+    return holding(every, rare, least_bytes)
 
 
 def disclosing_terms(df: DataFrame, text_col: str, marked: DataFrame, texts: DataFrame, least_docs: int, least_bytes: int, generalise_at: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity.
 
     The disclosure reaches generalise_at where n(t) <= n(t, e) (N / n(e)) ** (1 - generalise_at). Terms that already
-    more texts with entities hold are not counted in the corpus.
+    more texts hold, of those with entities or of a part of the corpus, need no counts in all of it.
     """
     total = float(marked.select(*KEY).distinct().count())
-    n_e, n_te = F.col("n"), F.col("n_te")
-    pairs = paired(texts, least_bytes).groupBy("entity", "n", "term").agg(F.count("*").alias("n_te")).where((n_te >= least_docs) & (n_e < total))
+    n_e, n_te = F.col("n_e"), F.col("n_te")
+    pairs = paired(texts, least_bytes).groupBy("entity", F.col("n").alias("n_e"), "term").agg(F.count("*").alias("n_te")).where((n_te >= least_docs) & (n_e < total))
     seen = texts.select(F.explode(words(F.col("text"), least_bytes)).alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
-    most = n_te * F.pow(F.lit(total) / n_e, F.lit(1 - generalise_at)) + 1e-6
-    pairs = saved(pairs.join(seen, "term").where(F.col("n_seen") <= most).drop("n_seen"))
-    wanted = saved(pairs.select("term").distinct())
+    pairs = pairs.withColumn("most", n_te * F.pow(F.lit(total) / n_e, F.lit(1 - generalise_at)) + 1e-6)
+    pairs = saved(pairs.join(seen, "term").where("n_seen <= most").drop("n_seen"))
+    wanted = saved(pairs.groupBy("term").agg(F.max("most").alias("most")))
     scored = pairs.join(term_counts(df, text_col, wanted, least_bytes), "term")
-    together = F.log2(F.lit(total) * n_te / (F.col("n_t") * n_e))
+    together = F.log2(F.lit(total) * n_te / (F.col("n") * n_e))
     terms = saved(scored.select("entity", "term", (together / F.log2(F.lit(total) / n_e)).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
     discard(pairs, wanted)
     return terms
