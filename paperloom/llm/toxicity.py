@@ -9,7 +9,8 @@ the smallest hashes). Scoring covers every document and its whole text in one na
 
 Defined results: null text counts as empty and is scored by the bias; null labels are left out of the fit;
 without both labels in the fit every score is the share of positive labels (0.5 without labels); repeated
-rows give repeated results; other columns are ignored.
+rows give repeated results; a text of any length is counted and scored whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

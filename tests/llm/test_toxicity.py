@@ -51,6 +51,15 @@ def test_fit_and_score(spark):
     assert score(docs.where("false"), model).count() == 0
 
 
+def test_a_very_long_text_is_scored_whole(spark):
+    rows = texts(400, 2)
+    long = "river stone " * 40_000
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(9000, long), (9001, "blockhead nitwit " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in score(docs, train(docs, labels, "toxic", features=512)).collect()}
+    assert got[9000] < 0.5 < got[9001]
+
+
 def test_degenerate_labels(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
     scores = lambda rows: {round(r.score, 6) for r in score(docs, train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), "toxic")).collect()}
