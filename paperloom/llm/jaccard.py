@@ -49,7 +49,9 @@ from .shared import bloom_filter, connected_components, discard, in_filter, save
 #: N-grams of a column block, about.
 BLOCK = 3_000_000
 #: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
-TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 4096
+TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 1024
+#: Pairs of rows that are added up at a time, and multiplications of a dense column that take as long as one such pair, about.
+PAIRS, DENSE = 2_000_000, 300
 #: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams whose holders are linked before they are sent.
 WIDE, ENTRIES = 4, 2_000_000
 #: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
@@ -303,7 +305,11 @@ def linked(overlap: np.ndarray, left: np.ndarray, right: np.ndarray, p: int, q:
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (a, b) of the links between the rows at left and those at right, which may meet."""
+    """A spanning forest (a, b) of the links between the rows at left and those at right, which may meet.
+
+    Columns that few rows have add one to each pair of them; the others, which a group of near copies shares, are
+    multiplied as dense blocks.
+    """
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     h = np.concatenate(sets)
@@ -315,20 +321,40 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     del h
     held = np.bincount(column)[column] > 1  # a column with one row adds to no pair
     row, column = row[held], column[held]
-    in_left, in_right = np.zeros(n, bool), np.zeros(n, bool)
-    in_left[left], in_right[right] = True, True
-    place_left, place_right = np.empty(n, np.int64), np.empty(n, np.int64)
-    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
     overlap = np.zeros((len(left), len(right)), np.int32)
     if len(row):
         column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]]), dtype=np.int32)
-        starts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
-        for a, b in zip(starts, [*starts[1:], len(column)]):
-            rows, at = np.unique(row[a:b], return_inverse=True)
-            block = np.zeros((len(rows), COLUMNS), np.float32)
-            block[at, column[a:b] - column[a]] = 1
-            mine, other = in_left[rows], in_right[rows]
-            overlap[np.ix_(place_left[rows[mine]], place_right[rows[other]])] += (block[mine] @ block[other].T).astype(np.int32)
+        width = int(column[-1]) + 1
+        sides = []
+        for own in (left, right):
+            place = np.full(n, -1, np.int32)
+            place[own] = np.arange(len(own), dtype=np.int32)
+            at = place[row]
+            sides.append((column[at >= 0], at[at >= 0], np.bincount(column[at >= 0], minlength=width)))
+        (l_column, l_row, l_count), (r_column, r_row, r_count) = sides
+        dense = l_count * r_count * DENSE >= overlap.size
+        # Sparse columns: each entry on the left with those of its column on the right, PAIRS at a time.
+        few = ~dense[l_column]
+        own_column, own_row = l_column[few], l_row[few].astype(np.int64)
+        pairs, begins, flat = r_count[own_column], np.cumsum(r_count) - r_count, overlap.ravel()
+        cuts = np.unique(np.searchsorted(np.cumsum(pairs), np.arange(0, pairs.sum() + PAIRS, PAIRS), side="right"))
+        for a, b in zip(cuts, cuts[1:]):
+            some = pairs[a:b]
+            at = np.repeat(begins[own_column[a:b]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            cell, count = np.unique(np.repeat(own_row[a:b] * len(right), some) + r_row[at], return_counts=True)
+            flat[cell] += count.astype(np.int32)
+        # Dense columns.
+        number = np.cumsum(dense) - 1
+        l_many, r_many = dense[l_column], dense[r_column]
+        l_number, l_row, r_number, r_row = number[l_column[l_many]], l_row[l_many], number[r_column[r_many]], r_row[r_many]
+        for first in range(0, int(dense.sum()), COLUMNS):
+            blocks = []
+            for numbers, rows, size in ((l_number, l_row, len(left)), (r_number, r_row, len(right))):
+                a, b = np.searchsorted(numbers, [first, first + COLUMNS])
+                block = np.zeros((size, COLUMNS), np.float32)
+                block[rows[a:b], numbers[a:b] - first] = 1
+                blocks.append(block)
+            overlap += (blocks[0] @ blocks[1].T).astype(np.int32)
     i, j = np.nonzero(linked(overlap, sizes[left], sizes[right], p, q))
     label = forest(left[i], right[j], n)
     at = np.nonzero(label != np.arange(n))[0]

@@ -74,6 +74,7 @@ def test_against_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "TILE", 16)
     monkeypatch.setattr(jaccard, "TILE_GRAMS", 500)
     monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard, "PAIRS", 100)
     monkeypatch.setattr(jaccard, "SHARD", 50)
     assert run(spark, rows) == plain(rows)
 
@@ -93,6 +94,22 @@ def test_the_comparison_is_exact_beyond_single_precision():
     assert jaccard.linked(np.array([[n]]), np.array([n]), np.array([n // 3 * 4 + 1]), 3, 4)[0, 0] and not jaccard.linked(np.array([[n]]), np.array([n]), np.array([n // 3 * 4 + 2]), 3, 4)[0, 0]
 
 
+@pytest.mark.parametrize("dense", [0, 4, 10**9])
+def test_tiles_against_plain_overlaps(monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    monkeypatch.setattr(jaccard, "COLUMNS", 8)
+    rng = np.random.default_rng(dense % 7)
+    for _ in range(20):
+        base = rng.choice(200, 40, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 40), replace=False), rng.choice(200, rng.integers(0, 6))])).astype(np.uint64) for _ in range(30)]
+        left, right = np.sort(rng.choice(30, 11, replace=False)), np.sort(rng.choice(30, 23, replace=False))
+        a, b = jaccard.tile_links(np.arange(30) + 100, sets, left, right, 3, 4)
+        label = jaccard.forest(a - 100, b - 100, 30)
+        i, j = np.array([(x, y) for x in left for y in right if 4 * len(np.intersect1d(sets[x], sets[y])) >= 3 * len(np.union1d(sets[x], sets[y]))]).T
+        assert (label == jaccard.forest(i, j, 30)).all() and len(set(label)) < 30
+
+
 def test_groups_of_many_tiles_that_fall_apart(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
