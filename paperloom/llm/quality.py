@@ -321,8 +321,8 @@ def limits(df: DataFrame, model: list, trusted: DataFrame, id_col: str, text_col
     """(_lang, _mean, _limit) of the languages of trusted documents, and the mean and limit of all others."""
     narrow = df.select(F.col(id_col).cast("long").alias("_id"), language(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     some = likely(narrow, trusted, "_id", "_trusted_id")
-    known = with_cost(some, model, "_id", "_text", "_cost").join(trusted, F.col("_id") == F.col("_trusted_id"), "left_semi")
-    known = saved(known.select("_lang", "_cost", F.length(F.coalesce("_text", F.lit(""))).alias("_chars")).where("_chars > 0"))
+    costed = with_cost(some, model, "_id", "_text", "_cost").select("_id", "_lang", "_cost", F.length(F.coalesce("_text", F.lit(""))).alias("_chars"))  # no text is shuffled
+    known = saved(costed.join(trusted, F.col("_id") == F.col("_trusted_id"), "left_semi").drop("_id").where("_chars > 0"))
     means = known.groupBy("_lang").agg((F.sum("_cost") / F.sum("_chars")).alias("_mean"))
     measured = known.join(means, "_lang").select("_lang", excess(F.col("_cost"), F.col("_chars"), F.col("_mean")).alias("_z"))
     own = quantiles(measured, quantile)
