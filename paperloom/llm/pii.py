@@ -12,8 +12,7 @@ one ideograph). A term needs `least_docs` texts with the entity: in fewer, any r
 evidence, so entities of one or two texts have no terms. Copies of a text are one piece of evidence and count once.
 
 Only DataFrame functions. The pattern spans of all texts are found once and kept, with the text where there are any;
-pairs of entity and term come from these texts, are counted with map-side sums, and only terms that may disclose an
-entity by an exact bound are counted in the whole corpus. Within a row, running totals are made block by block, so that a text with very many matches
+pairs of entity and term come from these texts, and all terms of the corpus are counted, dealt by text and term. Within a row, running totals are made block by block, so that a text with very many matches
 costs time in proportion to their number.
 
 Defined results: null text counts as empty; spans of a kind never overlap, and terms that overlap a pattern
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, saved, spread_join
+from .shared import saved, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive, and anchored where a run begins, so that long runs cost linear time.
@@ -43,10 +42,8 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 WORD = r"[A-Za-z0-9\p{L}\p{N}\p{M}]++"  # the first three only for speed
 #: What tells texts apart.
 KEY = ["k1", "k2"]
-#: Elements that a fold appends to one array, and terms that may be broadcast: some ten bytes each.
-BLOCK, SMALL_TERMS = 128, 1_000_000
-#: Parts of the corpus of which one tells common terms from rare ones.
-PARTS = 16
+#: Elements that a fold appends to one array.
+BLOCK = 128
 
 
 def let(value: Column, use) -> Column:
@@ -185,46 +182,20 @@ def paired(texts: DataFrame, least_bytes: int) -> DataFrame:
     return texts.select(*KEY, "entities", F.explode(words(F.col("text"), least_bytes)).alias("term")).select(*KEY, "term", F.inline("entities"))
 
 
-def holding(every: DataFrame, wanted: DataFrame, least_bytes: int) -> DataFrame:
-    """(term, n): the texts of every (k1, k2, text), each once, that hold a wanted term; where many are wanted, also others."""
-    if wanted.count() <= SMALL_TERMS:  # terms leave the scan only if they are wanted
-        held = every.select(*KEY, F.explode(words(F.col("text"), least_bytes)).alias("term")).join(F.broadcast(wanted.select("term")), "term", "left_semi").distinct()
-    else:  # copies go first, then each task sums what it has of a term
-        held = every.dropDuplicates(KEY).select(F.explode(words(F.col("text"), least_bytes)).alias("term"))
-    return held.groupBy("term").agg(F.count("*").alias("n"))
-
-
-def term_counts(df: DataFrame, text_col: str, wanted: DataFrame, least_bytes: int) -> DataFrame:
-    """(term, n): the texts of the whole corpus that hold each wanted (term, most) of which no more than `most` do, and perhaps others.
-
-    Terms of which one part of the texts already holds more are common: they are not counted in all others. The result
-    is the same without that.
-    """
+def term_counts(df: DataFrame, text_col: str, least_bytes: int) -> DataFrame:
+    """(term, n_t): the texts of the whole corpus that hold each term."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
-    part = holding(every.where(F.pmod("k1", F.lit(PARTS)) == 0), wanted, least_bytes)
-    rare = saved(wanted.join(part, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most")).select("term"))
-    return holding(every, rare, least_bytes)
+    every = df.select(text.alias("text")).select(F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), F.explode(words(F.col("text"), least_bytes)).alias("term"))
+    return every.distinct().groupBy("term").agg(F.count("*").alias("n_t"))  # dealt by text and term: no term is hot
 
 
 def disclosing_terms(df: DataFrame, text_col: str, marked: DataFrame, texts: DataFrame, least_docs: int, least_bytes: int, generalise_at: float) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity.
-
-    The disclosure reaches generalise_at where n(t) <= n(t, e) (N / n(e)) ** (1 - generalise_at). Terms that already
-    more texts hold, of those with entities or of a part of the corpus, need no counts in all of it.
-    """
+    """(entity, term, disclosure) of the terms that disclose an entity."""
     total = float(marked.select(*KEY).distinct().count())
-    n_e, n_te = F.col("n_e"), F.col("n_te")
-    pairs = paired(texts, least_bytes).groupBy("entity", F.col("n").alias("n_e"), "term").agg(F.count("*").alias("n_te")).where((n_te >= least_docs) & (n_e < total))
-    seen = texts.select(F.explode(words(F.col("text"), least_bytes)).alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
-    pairs = pairs.withColumn("most", n_te * F.pow(F.lit(total) / n_e, F.lit(1 - generalise_at)) + 1e-6)
-    pairs = saved(pairs.join(seen, "term").where("n_seen <= most").drop("n_seen"))
-    wanted = saved(pairs.groupBy("term").agg(F.max("most").alias("most")))
-    scored = pairs.join(term_counts(df, text_col, wanted, least_bytes), "term")
-    together = F.log2(F.lit(total) * n_te / (F.col("n") * n_e))
-    terms = saved(scored.select("entity", "term", (together / F.log2(F.lit(total) / n_e)).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
-    discard(pairs, wanted)
-    return terms
+    pairs = paired(texts, least_bytes).groupBy("entity", "n", "term").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= least_docs) & (F.col("n") < total))
+    scored = pairs.join(term_counts(df, text_col, least_bytes), "term")
+    together = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n")))
+    return saved(scored.select("entity", "term", (together / F.log2(F.lit(total) / F.col("n"))).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame, least_bytes: int, remove_at: float) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 import regex
 
-from paperloom.llm import entry, pii
+from paperloom.llm import entry
 from paperloom.llm.pii import find_pii
 
 BASE = {
@@ -161,10 +161,8 @@ def corpus(seed):
     return rows + [(200, None), (201, ""), (None, rows[0][1]), (202, rows[1][1]), (1, rows[1][1])]
 
 
-@pytest.mark.parametrize("seed, small, parts", [(1, 1_000_000, 16), (2, 0, 2)])
-def test_all_spans_against_plain_counts(spark, monkeypatch, seed, small, parts):
-    monkeypatch.setattr(pii, "SMALL_TERMS", small)
-    monkeypatch.setattr(pii, "PARTS", parts)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_spans_against_plain_counts(spark, seed):
     rows = corpus(seed)
     want = plain_spans(rows)
     assert sum(s[0] not in BASE for spans in want.values() for s in spans) > 20
