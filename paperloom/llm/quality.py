@@ -158,7 +158,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
             folds, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for fold in range(FOLDS):
                 own = [t for f, t in zip(folds, texts) if f == fold]
-                for _, some in runs_of_chars(own, own, 4_000_000):
+                for _, some in runs_of_chars(own, own):
                     seen, n = np.unique(grams(some)[0], return_counts=True)
                     yield {"fold": np.full(len(seen), fold, np.int32), "gram": seen.view(np.int64), "n": n}
 
@@ -252,30 +252,29 @@ def with_cost(df: DataFrame, model: list, id_col: str, text_col: str, into: str)
 
     One shard is one narrow pass. Of several each is a pass of its own over id and text, and their sums join the rows.
     """
-    columns = [f for f in df.schema]
+    fold = free_name(df.columns, "_fold")
 
-    def passed(rows: DataFrame, kept: list[T.StructField], shard: int) -> DataFrame:
-        names = [f.name for f in kept]
-        text, fold, sent = len(names), len(names) + 1, model[shard]
+    def passed(rows: DataFrame, shard: int) -> DataFrame:
+        names, sent = rows.columns, model[shard]
+        text = names.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                cost = text_costs(batch.column(text).to_pylist(), batch.column(fold).to_pylist(), sent.value, shard, len(model))
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                cost = text_costs(texts, batch.column(len(names)).to_pylist(), sent.value, shard, len(model))
                 yield {c: batch.column(k) for k, c in enumerate(names)} | {into: cost}
 
-        schema = T.StructType([*kept, T.StructField(into, T.DoubleType())])
-        whole = F.coalesce(F.col(text_col), F.lit(""))
-        return map_arrow(rows.select(*names, whole.alias(free_name(names, "_whole")), fold_of(whole).alias(free_name(names, "_fold"))), run, schema)
+        schema = T.StructType([*rows.schema, T.StructField(into, T.DoubleType())])
+        return map_arrow(rows.withColumn(fold, fold_of(F.coalesce(F.col(text_col), F.lit("")))), run, schema)
 
     if len(model) == 1:
-        return passed(df, columns, 0)
+        return passed(df, 0)
     i, k = free_name(df.columns, "_i"), free_name(df.columns, "_k")
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     narrow = df.select(F.col(id_col).cast("long").alias(i), key.alias(k), F.col(text_col))
-    kept = [f for f in narrow.schema if f.name in (i, k)]
     sums = None
     for s in range(len(model)):
-        part = passed(narrow, kept, s).groupBy(i, k).agg(F.max(into).alias(into))  # rows of one id and text cost the same
+        part = passed(narrow, s).groupBy(i, k).agg(F.max(into).alias(into))  # rows of one id and text cost the same
         sums = part if sums is None else sums.unionByName(part)
     total = sums.groupBy(i, k).agg(F.sum(into).alias(into))
     own, own_key = df[id_col].cast("long"), F.xxhash64(F.coalesce(df[text_col], F.lit("")))
