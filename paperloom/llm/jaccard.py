@@ -47,13 +47,15 @@ from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
 from .shared import bloom_filter, connected_components, discard, in_filter, saved, spread_join
 
 #: N-grams of a column block, about.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 #: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
 TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 1024
 #: Pairs of rows that are added up at a time, and multiplications of a dense column that take as long as one such pair, about.
-PAIRS, DENSE = 2_000_000, 300
+PAIRS, DENSE = 1_000_000, 300
+#: Rows of a tile whose links are read at a time.
+ROWS = 128
 #: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams whose holders are linked before they are sent.
-WIDE, ENTRIES = 4, 2_000_000
+WIDE, ENTRIES = 4, 500_000
 #: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
 CELLS, SHARD = 1 << 18, 16_384
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -355,8 +357,15 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
                 block[rows[a:b], numbers[a:b] - first] = 1
                 blocks.append(block)
             overlap += (blocks[0] @ blocks[1].T).astype(np.int32)
-    i, j = np.nonzero(linked(overlap, sizes[left], sizes[right], p, q))
-    label = forest(left[i], right[j], n)
+    # A slice of rows at a time: a group of near copies has a link in nearly every cell.
+    tails, heads = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for first in range(0, len(left), ROWS):
+        some = left[first : first + ROWS]
+        i, j = np.nonzero(linked(overlap[first : first + ROWS], sizes[some], sizes[right], p, q))
+        label = forest(some[i], right[j], n)
+        tails.append(np.nonzero(label != np.arange(n))[0])
+        heads.append(label[tails[-1]])
+    label = forest(np.concatenate(tails), np.concatenate(heads), n)
     at = np.nonzero(label != np.arange(n))[0]
     return ids[at], ids[label[at]]
 

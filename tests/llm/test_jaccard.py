@@ -98,6 +98,7 @@ def test_the_comparison_is_exact_beyond_single_precision():
 def test_tiles_against_plain_overlaps(monkeypatch, dense):
     monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "PAIRS", 50)
+    monkeypatch.setattr(jaccard, "ROWS", 4)
     monkeypatch.setattr(jaccard, "COLUMNS", 8)
     rng = np.random.default_rng(dense % 7)
     for _ in range(20):
