@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_io import id_and_text, map_arrow, struct
+from .arrow_io import free_name, id_and_text, map_arrow, struct
 from .shared import held_by_several, over_salts, salted
 
 #: Fixed value: the white space that a key loses at both ends.
@@ -73,7 +73,7 @@ def dedup_lines(
         .groupBy(F.col("doc_id").alias("_drop_id"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     )
-    drops = drops.select("_drop_id", F.col("_drops.h1").alias("_h1"), F.col("_drops.h2").alias("_h2"))
+    drops = drops.select("_drop_id", F.col("_drops.h1").alias(free_name(df.columns, "_h1")), F.col("_drops.h2").alias(free_name(df.columns, "_h2")))
     joined = df.join(drops, df[id_col].cast("long") == drops["_drop_id"], "left").drop(drops["_drop_id"])
     columns = df.columns
     at = columns.index(text_col)

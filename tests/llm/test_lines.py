@@ -48,3 +48,9 @@ def test_columns_pass_through(spark):
 def test_a_line_of_a_third_of_all_documents(spark):
     rows = [(k, "a line that very many documents hold\nown line of document " + str(k // 2)) if k % 3 == 0 else (k, f"another line of document {k}") for k in range(3000)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_columns_of_the_operators_own_names(spark):
+    text = "a line that two documents hold"
+    df = spark.createDataFrame([(1, text, 7, 8, 9), (2, text, 7, 8, 9)], "doc_id long, text string, _h1 int, _H2 int, _drop_id int")
+    assert sorted(map(tuple, dedup_lines(df, counts=None).collect())) == [(1, text, 7, 8, 9), (2, "", 7, 8, 9)]
