@@ -5,7 +5,9 @@ Every helper streams: one Arrow batch in, one or more batches out, nothing kept
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +29,38 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on for other tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def trimmed(fn: Callable) -> Callable:
+    """fn of a group, which gives back the memory it used."""
+
+    @wraps(fn)
+    def run(rows):
+        try:
+            return fn(rows)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch | dict]], schema: T.StructType) -> DataFrame:
     """mapInArrow whose function sees slices of batches and may yield dicts of columns."""
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
-            yield as_batch(out, target)
+        try:
+            for out in fn(b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
+                yield as_batch(out, target)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

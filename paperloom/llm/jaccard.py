@@ -43,9 +43,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct
+from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct, trimmed
 from .shared import bloom_filter, connected_components, discard, in_filter, saved, spread_join
 
+#: Characters that are cut into n-grams at a time, about.
+RUN = 500_000
 #: N-grams of a column block, about.
 BLOCK = 2_000_000
 #: Documents and n-grams of a tile at most, about, and columns multiplied at a time.
@@ -56,8 +58,10 @@ PAIRS, DENSE = 1_000_000, 300
 ROWS = 128
 #: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams whose holders are linked before they are sent.
 WIDE, ENTRIES = 4, 500_000
-#: Cells of the counter array that orders n-grams by rarity, and documents of a class shard.
-CELLS, SHARD = 1 << 18, 16_384
+#: Cells of the counter array that orders n-grams by rarity.
+CELLS = 1 << 18
+#: N-grams and classes of a slice at most, about, and the number that stands for several of its classes.
+SLICE_GRAMS, SHARD, COMMON = 1_500_000, 16_384, 0xFFFF
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +79,10 @@ def powers(base: int, n: int) -> np.ndarray:
     if len(_POWERS.get(base, ())) < n:
         table = np.full(max(n, 1 << 20), base, np.uint64)
         table[0] = 1
-        _POWERS[base] = np.multiply.accumulate(table)
+        np.multiply.accumulate(table, out=table)
+        if n > 1 << 20:  # of a very long text: not kept
+            return table
+        _POWERS[base] = table
     return _POWERS[base]
 
 
@@ -125,11 +132,11 @@ def ngram_sets_of(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def set_rows(n: int, emit):
-    """The map over (doc_id, text) whose emit gets the ids and the sets of about two million characters."""
+    """The map over (doc_id, text) whose emit gets the ids and the sets of about half a million characters."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 2_000_000):
+            for ids, texts in runs_of_chars(batch.column(0).to_pylist(), batch.column(1).to_pylist(), RUN):
                 yield from emit(ids, ngram_sets_of(texts, n))
 
     return run
@@ -145,92 +152,142 @@ def digests(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs, set_rows(n, emit), struct("doc_id long, n_shingles long, k1 long, k2 long"))
 
 
-def shared_counts(docs: DataFrame, n: int, blocks: int, shards: int) -> DataFrame:
-    """(k1, shared): for each class an upper bound of the n-grams that other classes have too.
+def dropping(gone: DataFrame, kept: DataFrame, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two filters by which a scan drops most of the ids gone, of those that are among a filter, and none of the ids kept: of the first, but not of the second."""
+    h = F.xxhash64("doc_id")
+    first = bloom_filter(gone.select(h.alias("h"), h.alias("in")), among)
+    return first, bloom_filter(kept.select(F.xxhash64("doc_id", F.lit(1)).alias("h"), h.alias("in")), first)
 
-    A block's rows carry 32 of the 64 hash bits, the block's number about log2(blocks) more; what collides
-    only raises the bound. Classes of which no n-gram is shared have no row.
-    """
 
-    def emit(ids, sets):
-        by_key = {xxhash.xxh3_128_digest(s.tobytes())[:8]: s for s in sets if len(s)}  # a class once
-        if not by_key:
-            return
-        keys = np.frombuffer(b"".join(by_key), "<i8")
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """docs with the two hashes of the id that filters ask for."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))
+
+
+def dropped(filters: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> np.ndarray:
+    first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
+    return in_filter(filters[0], first) & ~in_filter(filters[1], second)
+
+
+def two_planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 16 bits, the low bytes first: the high ones of sorted numbers are runs, which compress."""
+    return numbers.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
+def slice_rows(docs: DataFrame, n: int, blocks: int, copies: DataFrame, reps: DataFrame) -> DataFrame:
+    """(block, slice, grams, owners, classes, shared): what the slices of docs send the blocks."""
+    sent = docs.sparkSession.sparkContext.broadcast(dropping(copies, reps))
+
+    def rows_of(by_key: dict[bytes, np.ndarray]):
+        keys = list(by_key)
         h = np.concatenate(list(by_key.values()))
-        own = np.repeat(np.arange(len(keys)), [len(s) for s in by_key.values()])
-        block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-        column = block << 32 | h.astype(np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(s) for s in by_key.values()])
+        column = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64) << 24 | (h & np.uint64(0xFFFFFF)).astype(np.int64)
         order = np.argsort(column, kind="stable")
         column, own = column[order], own[order]
         same = column[1:] == column[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        first = np.concatenate([[True], ~same])
-        ends = np.searchsorted(column, np.arange(blocks + 1, dtype=np.int64) << 32)
-        out = {"block": [], "hashes": [], "common": [], "classes": [], "counts": [], "shared": []}
-        for b in np.nonzero(np.diff(ends))[0]:
-            part = slice(ends[b], ends[b + 1])
-            which, at = np.unique(own[part], return_inverse=True)
-            alone = ~several[part]
-            by_class = np.argsort(at[alone], kind="stable")
-            low = (column[part] & 0xFFFFFFFF).astype(np.uint32)
-            out["block"].append(int(b))
-            out["hashes"].append(low[alone][by_class].tobytes())
-            out["common"].append(low[several[part] & first[part]].tobytes())
-            out["classes"].append(keys[which].tobytes())
-            out["counts"].append(np.bincount(at[alone], minlength=len(which)).astype("<u4").tobytes())
-            out["shared"].append(np.bincount(at[~alone], minlength=len(which)).astype("<u4").tobytes())
-        yield out
+        shared = np.bincount(own[several], minlength=len(keys)).astype("<u4")
+        sending = np.concatenate([[True], ~same])
+        own[several] = COMMON
+        column, own = column[sending], own[sending]
+        order = np.lexsort((own, column >> 24))
+        column, own = column[order], own[order]
+        low = (column & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        ends = np.searchsorted(column >> 24, np.arange(blocks + 1))
+        some = np.nonzero(np.diff(ends))[0]
+        joined = b"".join(keys)
+        none = [b""] * (len(some) - 1)
+        yield {
+            "block": some.astype(np.int32),
+            "slice": np.full(len(some), int.from_bytes(xxhash.xxh3_64_digest(joined), "little", signed=True)),
+            "grams": [low[ends[b] : ends[b + 1]].tobytes() for b in some],
+            "owners": [two_planes(own[ends[b] : ends[b + 1]]) for b in some],
+            "classes": [joined, *none],
+            "shared": [shared.tobytes(), *none],
+        }
+
+    def cut_rows(batches: Iterator[pa.RecordBatch]):
+        by_key, size = {}, 0
+        for batch in batches:
+            some = batch.filter(pa.array(~dropped(sent.value, batch)))
+            for _, texts in runs_of_chars(some.column(0).to_pylist(), some.column(1).to_pylist(), RUN):
+                for s in ngram_sets_of(texts, n):
+                    if len(s):
+                        by_key[xxhash.xxh3_128_digest(s.tobytes())[:8]] = s  # a class once
+                        size += len(s)
+                    if size >= SLICE_GRAMS or len(by_key) >= SHARD:
+                        yield from rows_of(by_key)
+                        by_key, size = {}, 0
+        if by_key:
+            yield from rows_of(by_key)
+
+    return map_arrow(with_hashes(docs), cut_rows, struct("block int, slice long, grams binary, owners binary, classes binary, shared binary"))
+
+
+def shared_counts(docs: DataFrame, n: int, blocks: int, copies: DataFrame, reps: DataFrame) -> DataFrame:
+    """(k1, shared): for each class an upper bound of the n-grams that other classes have too.
+
+    Of a class mostly its representative is counted: copies are dropped in the scan; one that is not only raises the
+    bound. A slice sends a block 24 bits of each n-gram and a number of its class in the slice, so a row costs the
+    same however many blocks there are; the classes of a slice go with its row of one block, and a block answers with
+    their numbers. What collides only raises the bound. Classes of which no n-gram is shared have no row.
+    """
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(rows["hashes"]), "<u4").astype(np.uint64)
-        common = np.frombuffer(b"".join(rows["common"]), "<u4").astype(np.uint64)
-        keys, at = np.unique(np.frombuffer(b"".join(rows["classes"]), "<i8"), return_inverse=True)
-        own = np.repeat(at, np.frombuffer(b"".join(rows["counts"]), "<u4"))
-        entry = np.unique(np.concatenate([low << np.uint64(32) | own.astype(np.uint64), common << np.uint64(32) | np.uint64(len(keys))]))
-        column = entry >> np.uint64(32)
-        same = column[1:] == column[:-1]
-        others = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        shared = np.bincount((entry[others] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(keys) + 1)[: len(keys)]
-        # An n-gram that stands alone in no slice with the class is among the shared ones of every such slice: the least of them bounds those.
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, np.frombuffer(b"".join(rows["shared"]), "<u4").astype(np.int64))
-        shared = shared + least
-        hit = np.nonzero(shared)[0]
-        keys, shared = keys[hit], shared[hit].astype("<u4")
-        shard = keys.astype(np.uint64) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        which, ends = np.unique(shard[order], return_index=True)
-        parts = np.split(order, ends[1:])
-        return pd.DataFrame({"shard": which.astype(np.int32), "keys": [keys[x].tobytes() for x in parts], "shared": [shared[x].tobytes() for x in parts]}) if len(hit) else pd.DataFrame({"shard": np.empty(0, np.int32), "keys": [], "shared": []})
+        data = np.frombuffer(b"".join(rows["grams"]), np.uint8).reshape(-1, 3).astype(np.uint32)
+        column = data[:, 0] | data[:, 1] << 8 | data[:, 2] << 16
+        del data
+        # A slice sends an n-gram once: what is there twice is shared with another slice.
+        order = np.sort(column)
+        twice = np.zeros(1 << 24, bool)
+        twice[order[1:][order[1:] == order[:-1]]] = True
+        hit = twice[column]
+        at, found = 0, []
+        for size, owners in zip(rows["grams"].map(len), rows["owners"]):
+            own = from_planes(owners)[hit[at : at + size // 3]]
+            found.append(two_planes(own[own != COMMON]))
+            at += size // 3
+        out = pd.DataFrame({"slice": rows["slice"].to_numpy(), "owners": found, "classes": rows["classes"].to_numpy(), "shared": rows["shared"].to_numpy()})
+        return out[(out["owners"].map(len) > 0) | (out["classes"].map(len) > 0)]
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, own = np.unique(np.frombuffer(b"".join(rows["keys"]), "<i8"), return_inverse=True)
-        return pd.DataFrame({"k1": keys, "shared": np.bincount(own, np.frombuffer(b"".join(rows["shared"]), "<u4")).astype(np.int64)})
+        whole = rows["classes"].map(len).to_numpy() > 0
+        keys = np.frombuffer(rows["classes"][whole].iloc[0], "<i8")
+        shared = np.frombuffer(rows["shared"][whole].iloc[0], "<u4").astype(np.int64)
+        for owners in rows["owners"]:
+            shared += np.bincount(from_planes(owners), minlength=len(keys))
+        return pd.DataFrame({"k1": keys, "shared": shared})[shared > 0]
 
-    cut = map_arrow(docs, set_rows(n, emit), struct("block int, hashes binary, common binary, classes binary, counts binary, shared binary"))
-    products = cut.groupBy("block").applyInPandas(multiply, "shard int, keys binary, shared binary")
-    return products.groupBy("shard").applyInPandas(add, "k1 long, shared long")
+    products = slice_rows(docs, n, blocks, copies, reps).groupBy("block").applyInPandas(trimmed(multiply), "slice long, owners binary, classes binary, shared binary")
+    return products.groupBy("slice").applyInPandas(trimmed(add), "k1 long, shared long").groupBy("k1").agg(F.max("shared").alias("shared"))
 
 
-def ngram_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, size, set) of the documents in wanted (doc_id, k1): sorted distinct hashes, little-endian.
+def ngram_sets(docs: DataFrame, n: int, wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, k1, set) of the documents in wanted (doc_id, k1): sorted distinct hashes, little-endian.
 
-    A Bloom filter of fixed size picks them in the scan, so that no text is shuffled; the join is exact.
+    Filters of fixed size pick them in the scan, so that neither texts nor sets are shuffled. A few other rows may pass,
+    or a row of a wanted id that has another digest: whoever reads the table joins it by id and k1.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(F.xxhash64("doc_id").alias("h"))))
+    context = docs.sparkSession.sparkContext
+    first = bloom_filter(wanted.select(F.xxhash64("doc_id").alias("h")))
+    others = table.join(wanted, "doc_id", "left_anti")
+    bits = context.broadcast((first, *dropping(others, wanted, first)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            hit = np.nonzero(in_filter(bits.value, batch.column(2).to_numpy().view(np.uint64)))[0]
-            some = batch.take(pa.array(hit))
-            for ids, texts in runs_of_chars(some.column(0).to_pylist(), some.column(1).to_pylist()):
+            hit = in_filter(bits.value[0], batch.column(2).to_numpy().view(np.uint64)) & ~dropped(bits.value[1:], batch)
+            some = batch.filter(pa.array(hit))
+            for ids, texts in runs_of_chars(some.column(0).to_pylist(), some.column(1).to_pylist(), RUN):
                 sets = ngram_sets_of(texts, n)
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes())[:8] for s in sets), "<i8")
-                yield {"doc_id": ids, "k1": pa.array(keys), "size": [len(s) for s in sets], "set": [s.tobytes() for s in sets]}
+                yield {"doc_id": ids, "k1": pa.array(keys), "set": [s.tobytes() for s in sets]}
 
-    made = map_arrow(docs.withColumn("h", F.xxhash64("doc_id")), run, struct("doc_id long, k1 long, size int, set binary"))
-    return made.join(wanted, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]).drop("k1")
+    return map_arrow(with_hashes(docs), run, struct("doc_id long, k1 long, set binary"))
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -371,37 +428,37 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
 
 
 def products(sets: DataFrame, dealt: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): spanning forests of the links of each (label, i, j) between the rows with side 0 and all rows. dealt: doc_id, label, i, j, side."""
-    rows = sets.join(dealt, "doc_id").select("label", "i", "j", "side", "doc_id", "set")
+    """(a, b): spanning forests of the links of each (label, i, j) between the rows with side 0 and all rows. dealt: doc_id, k1, label, i, j, side."""
+    rows = sets.join(dealt, ["doc_id", "k1"]).select("label", "i", "j", "side", "doc_id", "set")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "side"]).drop_duplicates("doc_id")  # a row on both sides is one row
+        group = group.sort_values(["doc_id", "side"]).drop_duplicates("doc_id")  # a row on both sides, or repeated, is one row
         left = np.nonzero(group["side"].to_numpy() == 0)[0]
         a, b = tile_links(group["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in group["set"]], left, np.arange(len(group)), p, q) if len(left) else (np.empty(0, np.int64),) * 2
         return pd.DataFrame({"a": a, "b": b})
 
-    return rows.groupBy("label", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("label", "i", "j").applyInPandas(trimmed(run), "a long, b long")
 
 
 def tiles(rows: DataFrame, into: str, wide: int = 1) -> DataFrame:
-    """rows (node, label, size) with `into`, the tile of the row in its label, and its number of tiles in `into`_n."""
+    """rows (node, k1, label, size) with `into`, the tile of the row in its label, and its number of tiles in `into`_n."""
     counts = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / (wide * TILE)), F.ceil(F.sum("size") / (wide * TILE_GRAMS))).cast("int").alias(f"{into}_n"))
     return spread_join(rows, counts, ["label"], "node").withColumn(into, F.pmod(F.xxhash64("node"), F.col(f"{into}_n")).cast("int"))
 
 
-def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
-    """(node, label): the components of the links within candidate groups (node, label) of several documents."""
-    sized = groups.join(sets.select(F.col("doc_id").alias("node"), "size"), "node").select("node", "label", "size")
+def linked_in_groups(sets: DataFrame, groups: DataFrame, rest: DataFrame, p: int, q: int) -> DataFrame:
+    """(node, label): the components of the links within candidate groups (node, label) of several documents. rest: (doc_id, k1, size) of those that count."""
+    sized = groups.join(rest.withColumnRenamed("doc_id", "node"), "node").select("node", "k1", "label", "size")
     dealt = saved(tiles(sized, "tile"))
     one = lambda n: F.lit(n).alias
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias
     # Every tile meets itself and the first tile. Only ids are dealt by label; the sets join by id.
     node = F.col("node").alias("doc_id")
-    own = dealt.select(node, "label", one(0)("i"), F.col("tile").alias("j"), one(0)("side"))
-    first = dealt.where("tile = 0 and tile_n > 1").select(node, "label", one(0)("i"), each("tile_n")("j"), one(1)("side")).where("j > 0")
+    own = dealt.select(node, "k1", "label", one(0)("i"), F.col("tile").alias("j"), one(0)("side"))
+    first = dealt.where("tile = 0 and tile_n > 1").select(node, "k1", "label", one(0)("i"), each("tile_n")("j"), one(1)("side")).where("j > 0")
     links = saved(products(sets, own.unionByName(first), p, q))
     parts = connected_components(links)
-    several = dealt.where("tile_n > 1").select("node", "label", "size")
+    several = dealt.where("tile_n > 1").select("node", "k1", "label", "size")
     if several.isEmpty():
         discard(dealt)
         return parts
@@ -409,14 +466,14 @@ def linked_in_groups(sets: DataFrame, groups: DataFrame, p: int, q: int) -> Data
     placed = several.join(parts.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = placed.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("largest"))
-    others = saved(tiles(spread_join(placed, largest, ["label"], "node").where("part <> largest").select("node", "label", "size"), "other", WIDE))
+    others = saved(tiles(spread_join(placed, largest, ["label"], "node").where("part <> largest").select("node", "k1", "label", "size"), "other", WIDE))
     if others.isEmpty():
         discard(dealt, others)
         return parts
     whole = saved(tiles(spread_join(several, others.select("label", "other_n").distinct(), ["label"], "node").where("other_n is not null"), "whole", WIDE))
     many = spread_join(others, whole.select("label", "whole_n").distinct(), ["label"], "node")
-    left = many.select(node, "label", F.col("other").alias("i"), each("whole_n")("j"), one(0)("side"))
-    right = whole.select(node, "label", each("other_n")("i"), F.col("whole").alias("j"), one(1)("side"))
+    left = many.select(node, "k1", "label", F.col("other").alias("i"), each("whole_n")("j"), one(0)("side"))
+    right = whole.select(node, "k1", "label", each("other_n")("i"), F.col("whole").alias("j"), one(1)("side"))
     more = saved(products(sets, left.unionByName(right), p, q))
     joined = connected_components(links.unionByName(more))
     discard(dealt, others, whole, links, more)
@@ -430,15 +487,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = digests(docs, n).groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("d"))
     table = saved(table.select("doc_id", "d.*"))
     classes = table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"))
-    total, n_docs = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
-    bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), max(1, -(-n_docs // SHARD)))
-    rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1"))
-    sets = saved(ngram_sets(docs, n, rest))
+    total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    copies = table.where("n_shingles > 0").select("doc_id").join(reps, "doc_id", "left_anti")
+    bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), copies, reps)
+    rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1", "size"))
+    sets = saved(ngram_sets(docs, n, rest.select("doc_id", "k1"), table.select("doc_id")))
     shared = saved(prefixes(sets, rarity(sets), p, q))
     entries = shared.where("h is not null").select("h", "a")
     held = entries.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("h", "b")
     proposed = entries.join(held, "h").select("a", "b").unionByName(shared.where("h is null").select("a", "b"))
-    final = saved(linked_in_groups(sets, connected_components(proposed), p, q))
+    final = saved(linked_in_groups(sets, connected_components(proposed), rest, p, q))
     discard(rest, sets, shared)
     members = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     return spread_join(table, members, ["k1", "k2"], "doc_id").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))

@@ -150,19 +150,23 @@ def in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[a >> 3] >> (a & 7) & 1).astype(bool) & (table[b >> 3] >> (b & 7) & 1).astype(bool)
 
 
-def bloom_filter(items: DataFrame) -> np.ndarray:
-    """The filter of the h column, merged from filters of its partitions."""
+def bloom_filter(items: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
+    """The filter of the h column, merged from filters of its partitions; with another filter, of the rows whose column `in` that one has."""
+    sent = None if among is None else items.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]):
         table = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            if sent is not None:
+                own = own[in_filter(sent.value, batch.column(1).to_numpy().view(np.uint64))]
             with np.errstate(over="ignore"):
-                places = np.concatenate(filter_places(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS))
+                places = np.concatenate(filter_places(own, FILTER_BITS))
             np.bitwise_or.at(table, places >> 3, (1 << (places & 7)).astype(np.uint8))
         at = np.nonzero(table)[0]
         yield {"at": at.astype(np.int32), "bits": table[at].astype(np.int32)}
 
-    merged = map_arrow(items.select("h"), run, struct("at int, bits int")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    merged = map_arrow(items.select("h", *([] if among is None else ["in"])), run, struct("at int, bits int")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     table[merged["at"].to_numpy()] = merged["bits"].to_numpy().astype(np.uint8)
     return table

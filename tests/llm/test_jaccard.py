@@ -111,6 +111,16 @@ def test_tiles_against_plain_overlaps(monkeypatch, dense):
         assert (label == jaccard.forest(i, j, 30)).all() and len(set(label)) < 30
 
 
+def test_the_first_pass_sends_as_much_for_many_blocks(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(50_000)}" for _ in range(300))) for k in range(200)], "doc_id long, text string").repartition(1)
+    ids, sent = docs.select("doc_id"), []
+    for blocks in (1, 200):  # 296 n-grams of a document
+        rows = jaccard.slice_rows(docs, 5, blocks, ids.limit(0), ids).collect()
+        sent.append(sum(len(r.grams) + len(r.owners) + len(r.classes) + len(r.shared) for r in rows))
+    assert 200 * 296 * 4 < sent[1] < min(1.02 * sent[0], 200 * 296 * 6)
+
+
 def test_groups_of_many_tiles_that_fall_apart(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
