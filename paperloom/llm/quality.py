@@ -37,6 +37,8 @@ from .arrow_io import free_name, id_and_text, map_arrow, runs_of_chars, struct
 from .shared import discard, likely, saved
 
 ORDER, FOLDS, EVEN = 4, 2, 100
+#: Characters that are scored or counted at a time, about: each takes some 100 bytes of a worker.
+RUN = 200_000
 #: Entries of a shard, about.
 SHARD = 1_000_000
 #: Symbols have 16 bits; 0 is none, and the surrogates, which no text holds, stand for code points beyond the basic plane and for the start.
@@ -158,7 +160,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
             folds, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for fold in range(FOLDS):
                 own = [t for f, t in zip(folds, texts) if f == fold]
-                for _, some in runs_of_chars(own, own):
+                for _, some in runs_of_chars(own, own, RUN):
                     seen, n = np.unique(grams(some)[0], return_counts=True)
                     yield {"fold": np.full(len(seen), fold, np.int32), "gram": seen.view(np.int64), "n": n}
 
@@ -238,7 +240,7 @@ def text_costs(texts: list[str], folds: list[int], folded: list[Shard], shard: i
     out = np.zeros(len(texts))
     for fold in range(FOLDS):
         mine = [k for k, f in enumerate(folds) if f == fold]
-        for at, some in runs_of_chars(mine, [texts[k] for k in mine]):
+        for at, some in runs_of_chars(mine, [texts[k] for k in mine], RUN):
             gram, lengths = grams(some)
             cost = np.zeros(len(gram))
             here = np.ones(len(gram), bool) if shards == 1 else pair_shard((gram >> np.uint64(BITS)).astype(np.int64) & low(2), shards) == shard
