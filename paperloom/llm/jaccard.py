@@ -11,8 +11,11 @@ its transpose as far as size bounds leave anything to add up:
    the holders of a very common n-gram but with the slices that have it.
 3. Among the rest a pair that links shares an n-gram within the first size - ceil(threshold * size) + 1 of
    both sets, in an order that puts rare n-grams first (by a counter array of fixed size, then by hash: any
-   order is right, a good one proposes little). The holders of each such n-gram join one candidate group: first
-   within a slice of documents, of which then only the smallest holder is sent.
+   order is right, a good one proposes little). Where i n-grams of a set come before the first that it shares, at
+   most size - i are common, which bounds the size of the other set. Two holders of an n-gram join one candidate
+   group if the bounds of both allow it; an n-gram of more than HOLDERS is cut where no bound reaches over a gap
+   in the sizes. So no chain of sets too different in size, or alike only in their commoner n-grams, grows with
+   the corpus into one large group.
 4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Products are exact, a
    column block at a time; pairs below what their sizes ask for are discarded, and a product yields a spanning
    forest of its links instead of the links themselves. First every tile is multiplied with itself and the
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_io import id_and_text, map_arrow, runs_of_chars, struct, trimmed
-from .shared import bloom_filter, connected_components, discard, in_filter, saved, spread_join
+from .shared import bloom_filter, connected_components, discard, in_filter, likely, saved, spread_join
 
 #: Characters that are cut into n-grams at a time, about.
 RUN = 500_000
@@ -56,8 +59,8 @@ TILE, TILE_GRAMS, COLUMNS = 512, 500_000, 1024
 PAIRS, DENSE = 1_000_000, 300
 #: Rows of a tile whose links are read at a time.
 ROWS = 128
-#: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams whose holders are linked before they are sent.
-WIDE, ENTRIES = 4, 500_000
+#: Times as many in a tile of the second products, where every tile meets many others; prefix n-grams of a slice and of a block, about; holders of one that meet pair by pair.
+WIDE, ENTRIES, HOLDERS = 4, 500_000, 32
 #: Cells of the counter array that orders n-grams by rarity.
 CELLS = 1 << 18
 #: N-grams and classes of a slice at most, about, and the number that stands for several of its classes.
@@ -308,40 +311,92 @@ def rarity(sets: DataFrame) -> np.ndarray:
     return cells
 
 
-def prefixes(sets: DataFrame, cells: np.ndarray, p: int, q: int) -> DataFrame:
-    """(h, a, b): the n-grams of which a linked pair shares one. Where h is null, documents a and b share one; else b is null and a holds h.
+def proposals(sets: DataFrame, cells: np.ndarray, blocks: int, p: int, q: int) -> DataFrame:
+    """(a, b): documents that may link, as forests: a linked pair is connected by them.
 
-    Of the documents that a slice of about ENTRIES n-grams finds to hold one, only the smallest is sent as its holder.
+    A slice of about ENTRIES n-grams sends a block 48 bits of each n-gram, its holder, the holder's size and the largest
+    size that may link with it by this n-gram. Where more than HOLDERS of a slice hold one, those of about one size are
+    linked there and sent as one. What collides or is sent as one only proposes more.
     """
     sent = sets.sparkSession.sparkContext.broadcast(cells)
+    step = np.log(q / p) / 8  # the width of a band of sizes
+
+    def rows_of(h, own, size, most):
+        pairs = np.empty((0, 2), np.int64)
+        order = np.argsort(h, kind="stable")
+        h, own, size, most = h[order], own[order], size[order], most[order]
+        _, at, count = np.unique(h, return_inverse=True, return_counts=True)
+        many = count[at] > HOLDERS
+        if many.any():
+            band = np.where(many, (np.log(size) / step).astype(np.int64), -1 - np.arange(len(h)))
+            order = np.lexsort((own, band, h))
+            h, own, size, most, band = h[order], own[order], size[order], most[order], band[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (band[1:] != band[:-1])])
+            begins = np.nonzero(first)[0]
+            least = own[begins][np.cumsum(first) - 1]
+            pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
+            h, own, size, most = h[begins], own[begins], np.minimum.reduceat(size, begins), np.maximum.reduceat(most, begins)
+        block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        h, own, size, most = h[order], own[order], size[order], most[order]
+        ends = np.searchsorted(block[order], np.arange(blocks + 1))
+        some = np.nonzero(np.diff(ends))[0]
+        low = h.view(np.uint8).reshape(-1, 8)[:, :6]
+        cut = lambda x: [x[ends[b] : ends[b + 1]].tobytes() for b in some]
+        yield {"block": some.astype(np.int32), "grams": cut(low), "own": cut(own), "size": cut(size.astype("<u4")), "most": cut(most.astype("<u4")), "pairs": [pairs.tobytes(), *[b""] * (len(some) - 1)]}
 
-    def combined(ids: list[np.ndarray], found: list[np.ndarray]):
-        h, own = np.concatenate(found), np.concatenate(ids)
-        order = np.lexsort((own, h))
-        h, own = h[order], own[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        least = own[first][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
-        yield {"h": pa.array(h[first].view(np.int64)), "a": pa.array(own[first]), "b": pa.nulls(int(first.sum()), pa.int64())}
-        yield {"h": pa.nulls(len(pairs), pa.int64()), "a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())}
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        ids, found, n = [], [], 0
+    def cut_rows(batches: Iterator[pa.RecordBatch]):
+        found, n = [], 0
         for batch in batches:
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = np.frombuffer(x, "<u8")
                 keep = len(h) + (-len(h) * p) // q + 1  # size - ceil(size * p / q) + 1
                 order = np.argsort(sent.value[(h % np.uint64(CELLS)).astype(np.int64)], kind="stable")[:keep]
-                found.append(h[order])
-                ids.append(np.full(len(order), doc_id, np.int64))
+                # overlap * (p + q) >= p * (size + other), where the overlap is at most size - place.
+                most = np.minimum((q * len(h) - (p + q) * np.arange(len(order))) // p, 0xFFFFFFFF)
+                found.append((h[order], np.full(len(order), doc_id, np.int64), np.full(len(order), len(h), np.int64), most))
                 n += len(order)
                 if n >= ENTRIES:
-                    yield from combined(ids, found)
-                    ids, found, n = [], [], 0
-        if ids:
-            yield from combined(ids, found)
-
-    return map_arrow(sets.select("doc_id", "set"), run, struct("h long, a long, b long"))
+                    yield from rows_of(*map(np.concatenate, zip(*found)))
+                    found, n = [], 0
+        if found:
+            yield from rows_of(*map(np.concatenate, zip(*found)))
+
+    def propose(rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.frombuffer(b"".join(rows["grams"]), np.uint8).reshape(-1, 6)
+        h = np.zeros((len(data), 8), np.uint8)
+        h[:, :6] = data
+        h = h.view("<u8").ravel()
+        own, pairs = (np.frombuffer(b"".join(rows[c]), "<i8") for c in ("own", "pairs"))
+        size, most = (np.frombuffer(b"".join(rows[c]), "<u4") for c in ("size", "most"))
+        order = np.lexsort((size, h))
+        h, own, size, most = h[order], own[order], size[order], most[order]
+        ids, at = np.unique(np.concatenate([own, pairs]), return_inverse=True)
+        own, tails, heads = at[: len(own)], [at[len(own) :: 2]], [at[len(own) + 1 :: 2]]
+        group = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+        hot = np.bincount(group)[group] > HOLDERS
+        # Of many holders: each with the one before in order of size, if any before it may reach it.
+        reach = np.maximum.accumulate(group << 32 | most)
+        next_ = np.nonzero(hot[1:] & (group[1:] == group[:-1]) & (size[1:] <= (reach[:-1] & 0xFFFFFFFF)))[0] + 1
+        tails.append(own[next_])
+        heads.append(own[next_ - 1])
+        # Of few: all pairs, by their distance in that order.
+        near = np.nonzero(~hot)[0]
+        for d in range(1, HOLDERS):
+            near = near[near + d < len(h)]
+            near = near[group[near] == group[np.minimum(near + d, len(h) - 1)]]
+            may = near[(size[near + d] <= most[near]) & (size[near] <= most[near + d])]
+            label = forest(own[may + d], own[may], len(ids))
+            tails.append(np.nonzero(label != np.arange(len(ids)))[0])
+            heads.append(label[tails[-1]])
+            if not len(near):
+                break
+        label = forest(np.concatenate(tails), np.concatenate(heads), len(ids))
+        at = np.nonzero(label != np.arange(len(ids)))[0]
+        return pd.DataFrame({"a": ids[at], "b": ids[label[at]]})
+
+    rows = map_arrow(sets.select("doc_id", "set"), cut_rows, struct("block int, grams binary, own binary, size binary, most binary, pairs binary"))
+    return rows.groupBy("block").applyInPandas(trimmed(propose), "a long, b long")
 
 
 def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -474,7 +529,7 @@ def linked_in_groups(sets: DataFrame, groups: DataFrame, rest: DataFrame, p: int
     many = spread_join(others, whole.select("label", "whole_n").distinct(), ["label"], "node")
     left = many.select(node, "k1", "label", F.col("other").alias("i"), each("whole_n")("j"), one(0)("side"))
     right = whole.select(node, "k1", "label", each("other_n")("i"), F.col("whole").alias("j"), one(1)("side"))
-    more = saved(products(sets, left.unionByName(right), p, q))
+    more = saved(products(likely(sets, whole, "doc_id", "node"), left.unionByName(right), p, q))
     joined = connected_components(links.unionByName(more))
     discard(dealt, others, whole, links, more)
     return joined
@@ -493,12 +548,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound = shared_counts(docs, n, max(1, -(-total // BLOCK)), copies, reps)
     rest = saved(classes.join(bound, "k1").where(F.col("shared") * q >= F.col("size") * p).select(F.col("rep").alias("doc_id"), "k1", "size"))
     sets = saved(ngram_sets(docs, n, rest.select("doc_id", "k1"), table.select("doc_id")))
-    shared = saved(prefixes(sets, rarity(sets), p, q))
-    entries = shared.where("h is not null").select("h", "a")
-    held = entries.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("h", "b")
-    proposed = entries.join(held, "h").select("a", "b").unionByName(shared.where("h is null").select("a", "b"))
+    entries = rest.agg(F.coalesce(F.sum(F.col("size") - F.ceil(F.col("size") * p / q) + 1), F.lit(0))).first()[0]
+    proposed = proposals(sets, rarity(sets), max(1, -(-entries // ENTRIES)), p, q)
     final = saved(linked_in_groups(sets, connected_components(proposed), rest, p, q))
-    discard(rest, sets, shared)
+    discard(rest, sets)
     members = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     return spread_join(table, members, ["k1", "k2"], "doc_id").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 

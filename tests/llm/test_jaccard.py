@@ -136,6 +136,46 @@ def test_groups_of_many_tiles_that_fall_apart(spark, monkeypatch):
     assert run(spark, rows) == plain(rows)
 
 
+def test_what_cannot_link_joins_no_group(spark, monkeypatch):
+    """Documents that all share a passage, each half as long again as the one before, and a group that falls apart."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    groups, read = [], []
+    linked, multiplied = jaccard.linked_in_groups, jaccard.products
+    monkeypatch.setattr(jaccard, "linked_in_groups", lambda sets, found, *a: (groups.append(found.groupBy("label").count().toPandas()["count"].tolist()), linked(sets, found, *a))[1])
+    monkeypatch.setattr(jaccard, "products", lambda sets, *a: (read.append(sets.count()), multiplied(sets, *a))[1])
+    passages = [" ".join(word() for _ in range(30)) for _ in range(14)]
+    texts = [" ".join(passages[:k]) for k in (1, 2, 3, 5, 8, 13)]
+    assert run(spark, list(enumerate(texts))) == plain(list(enumerate(texts)))
+    assert groups == [[]]
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "CELLS", 1)  # any order is right
+    groups.clear()
+    read.clear()
+    common = " ".join(word() for _ in range(24))
+    texts = [c for _ in range(4) for c in copies(rng, common + " " + " ".join(word() for _ in range(12)), 10, 1)]
+    texts += [c for _ in range(100) for c in copies(rng, " ".join(word() for _ in range(60)), 2, 2)]
+    assert run(spark, list(enumerate(texts))) == plain(list(enumerate(texts)))
+    assert max(groups[0]) > 8 and len(read) == 2 and read[1] < 80 < read[0]
+
+
+@pytest.mark.parametrize("holders", [2, 1000])
+def test_proposals_connect_all_links(spark, monkeypatch, holders):
+    monkeypatch.setattr(jaccard, "HOLDERS", holders)
+    monkeypatch.setattr(jaccard, "ENTRIES", 300)
+    rng = random.Random(holders)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    texts = []
+    for _ in range(12):  # parts of one text, of many lengths
+        base = [word() for _ in range(90)]
+        for _ in range(25):
+            a = rng.randrange(40)
+            texts.append(" ".join(base[a : a + rng.randint(6, 90)]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == plain(rows)
+
+
 def test_exact_bound(spark):
     words = [f"w{k}" for k in range(40)]
     a = " ".join(words[:11])  # 7 shingles
