@@ -14,8 +14,7 @@ its transpose as far as size bounds leave anything to add up:
    order is right, a good one proposes little). Where i n-grams of a set come before the first that it shares, at
    most size - i are common, which bounds the size of the other set. Two holders of an n-gram join one candidate
    group if the bounds of both allow it; an n-gram of more than HOLDERS is cut where no bound reaches over a gap
-   in the sizes. So no chain of sets too different in size, or alike only in their commoner n-grams, grows with
-   the corpus into one large group.
+   in the sizes. Without this, chains of sets that cannot link ran together into one group on larger corpora.
 4. Second product: a candidate group's rows are dealt to tiles of about TILE documents. Products are exact, a
    column block at a time; pairs below what their sizes ask for are discarded, and a product yields a spanning
    forest of its links instead of the links themselves. First every tile is multiplied with itself and the
